@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import id_store, packing, token_counts, tokens
+from corvane.llm import decontam, html_text, id_store, license_scan, line_dedup, packing, quality, simhash, substring_dedup, token_counts, tokens
 from corvane.llm.shared import new_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -44,5 +44,74 @@ def op3_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_store.read_documents(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_id_store)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), width=20, with_text=False)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1, with_text=False)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"), size=3, radius=3)
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, min_share=0.05, with_text=False)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_packing, op3_id_store, op4_license_scan, op5_substring_dedup, op6_html_text, op7_quality, op8_line_dedup, op9_simhash, op10_decontam)
+}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+_OP5 = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, len(w) AS n, unnest(generate_series(1, len(w) - 19)) AS i, w FROM words WHERE len(w) >= 20
+), keyed AS (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM windows
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS p FROM keyed WHERE k > 1
+), lists AS (
+    SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+), split AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words
+), kept AS (
+    SELECT s.doc_id, string_agg(word, ' ' ORDER BY s.p) AS t FROM split s ANTI JOIN gone g ON s.doc_id = g.doc_id AND s.p = g.p GROUP BY s.doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(l.ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words w LEFT JOIN lists l ON w.doc_id = l.doc_id LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
+
+_OP8 = rf"""
+WITH lines AS (
+    SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS p
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+    SELECT doc_id, p, line, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k FROM lines
+), hot AS (
+    SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hot.k IS NOT NULL) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE hot.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": _OP5, "op8_line_dedup": _OP8}
