@@ -52,7 +52,7 @@ class PerfectHash:
 
     @staticmethod
     def _at(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(size)).astype(np.int64)
+        return (mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 & 2**64 - 1)) % np.uint64(size)).astype(np.int64)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, np.int64)
