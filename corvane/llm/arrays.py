@@ -6,6 +6,7 @@ texts are held in expanded form at once (a single longer text forms a slice of i
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +37,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         at = to
 
 
+def release() -> None:
+    """Gives memory that a finished partition held back to the system: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the offset of each text in them (one more than texts)."""
     if isinstance(texts, pa.ChunkedArray):

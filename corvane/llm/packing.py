@@ -22,6 +22,8 @@ from corvane.llm.shared import id_type, per_slice, written
 
 #: Partitions (or groups) whose leftovers are merged in one task.
 FAN_IN = 64
+#: Text that is held in expanded form at once.
+SLICE = 3 << 20
 
 Piece = tuple  # (doc_id, start, ids, doc_tokens)
 
@@ -115,13 +117,13 @@ def pack(
     def first(batches):
         from pyspark import TaskContext
 
-        from corvane.llm.arrays import slices
+        from corvane.llm.arrays import release, slices
 
         part = TaskContext.get().partitionId()
         packer, run, made, arrow = Packer(size, slots, waste), encode(), 0, None
         end = np.array([end_id], np.uint32)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 arrow = batch.schema.field("doc_id").type
                 ids, counts = run(batch.column("text"))
                 done, at = [], 0
@@ -134,6 +136,7 @@ def pack(
                     yield _rows(arrow, done, None, with_ids)
         if packer.held:
             yield _rows(arrow, [((part << 32) + made + i, w) for i, w in enumerate(packer.rest())], part, with_ids)
+        release()
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     found = written(rows.mapInArrow(first, schema), "packed")

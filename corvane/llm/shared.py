@@ -61,16 +61,17 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def per_slice(df: DataFrame, run, schema: str, column: str = "text") -> DataFrame:
+def per_slice(df: DataFrame, run, schema: str, column: str = "text", limit: int | None = None) -> DataFrame:
     """Rows of `run(batch)`, which yields record batches for each piece of the input of a few MB of `column`."""
 
     def each(batches):
-        from corvane.llm.arrays import slices
+        from corvane.llm.arrays import SLICE_BYTES, release, slices
 
         for batch in batches:
             if batch.num_rows:
-                for piece in slices(batch, column):
+                for piece in slices(batch, column, limit or SLICE_BYTES):
                     yield from run(piece)
+        release()
 
     return df.mapInArrow(each, schema)
 

@@ -25,6 +25,8 @@ from corvane.llm.components import components
 from corvane.llm.shared import id_type, parts, per_slice, written
 
 LIMIT = 4096
+#: Text that is held in expanded form at once.
+SLICE = 3 << 20
 LEVELS = 3
 
 _SPREAD = np.array([sum(1 << (8 * j) for j in range(8) if i >> j & 1) for i in range(256)], np.uint64)
@@ -82,7 +84,7 @@ def fingerprints(docs: DataFrame, size: int = 3, lanes: int = 1, id_col: str = "
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found)], names=["doc_id", *[f"f{k}" for k in range(lanes)]])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return per_slice(rows, run, f"doc_id {id_type(docs, id_col)}, " + ", ".join(f"f{k} long" for k in range(lanes)))
+    return per_slice(rows, run, f"doc_id {id_type(docs, id_col)}, " + ", ".join(f"f{k} long" for k in range(lanes)), limit=SLICE)
 
 
 def masks(radius: int, level: int = 0) -> list[int]:

@@ -19,7 +19,7 @@ from corvane.llm.arrays import flat, ranges
 #: Texts whose code points all lie below are cut here; others are encoded by the library whole.
 KNOWN = 0x0590
 #: Distinct pre-tokens that a worker remembers; later ones are encoded anew in each slice.
-MEMO = 400_000
+MEMO = 300_000
 
 _L, _N, _S, _O = 1, 2, 3, 4
 

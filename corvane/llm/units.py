@@ -36,12 +36,13 @@ def per_unit(rows: DataFrame, run, schema: str) -> DataFrame:
     """Rows of `run(unit, batch)` for each unit of `source` rows; a unit's number is its first row's."""
 
     def each(batches):
-        from corvane.llm.arrays import slices
+        from corvane.llm.arrays import release, slices
 
         for whole in batches:
             if whole.num_rows:
                 for batch in slices(whole, "text", UNIT_BYTES):
                     yield from run(batch.column("_row")[0].as_py(), batch)
+        release()
 
     return rows.mapInArrow(each, schema)
 
