@@ -16,8 +16,9 @@ def col(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _checked(x: Column, ok: Column, message: str) -> Column:
-    return F.when(x.isNull() | ok, x).otherwise(F.raise_error(F.lit(message)))
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def _pair(x: ColumnOrName, y: ColumnOrName) -> tuple[Column, Column]:
@@ -28,8 +29,7 @@ def _pair(x: ColumnOrName, y: ColumnOrName) -> tuple[Column, Column]:
 
 
 def _zip(x, y, f) -> Column:
-    x, y = _pair(x, y)
-    return F.zip_with(x, y, f)
+    return let(F.struct(col(x).alias("x"), col(y).alias("y")), lambda z: F.zip_with(*_pair(z["x"], z["y"]), f))
 
 
 def array_add(x, y):
@@ -101,16 +101,23 @@ def array_abs(x):
     return F.transform(col(x), F.abs)
 
 
+def _mean_of(v: Column) -> Column:
+    return F.when(F.size(v) > 0, _fold(v.cast("array<double>"), "double", lambda s, e: s + e) / F.size(v))
+
+
 def array_mean(x):
-    v = _valid(x)
-    return F.when(F.size(v) > 0, array_sum(x) / F.size(v))
+    return let(_valid(x), _mean_of)
 
 
 def array_stddev(x):
     """Sample standard deviation of the elements."""
-    v, m = _valid(x), array_mean(x)
-    squares = F.aggregate(v, F.lit(0.0), lambda s, e: s + (e - m) * (e - m))
-    return F.when(F.size(v) == 1, F.lit(0.0)).when(F.size(v) > 1, F.sqrt(squares / (F.size(v) - 1)))
+
+    def of(z):
+        v, m = z["v"], z["m"]
+        squares = F.aggregate(v, F.lit(0.0), lambda s, e: s + (e - m) * (e - m))
+        return F.when(F.size(v) == 1, F.lit(0.0)).when(F.size(v) > 1, F.sqrt(squares / (F.size(v) - 1)))
+
+    return let(let(_valid(x), lambda v: F.struct(v.alias("v"), _mean_of(v).alias("m"))), of)
 
 
 def array_of_float(k):
@@ -164,8 +171,9 @@ def array_square(x):
 
 def normalize(x):
     """The array over its 2-norm; of norm zero as it is."""
-    n = F.sqrt(F.aggregate(col(x), F.lit(0.0), lambda s, e: s + e * e))
-    return F.transform(col(x), lambda e: F.when(n > 0, e / n).otherwise(e.cast("double")))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e))
+    pair = let(col(x), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return let(pair, lambda z: F.transform(z["v"], lambda e: F.when(z["n"] > 0, e / z["n"]).otherwise(e.cast("double"))))
 
 
 def array_contains_null(x):
@@ -273,7 +281,7 @@ def var_scales(x, width: int):
 def normalize_data(x, mean, std):
     """(x - mean) / std; where std is zero, x - mean."""
     z = F.arrays_zip(col(x).alias("x"), col(mean).alias("m"), col(std).alias("s"))
-    return F.transform(z, lambda e: (e["0"] - e["1"]) / F.when(e["2"] == 0, F.lit(1.0)).otherwise(e["2"]))
+    return F.transform(z, lambda e: (e["x"] - e["m"]) / F.when(e["s"] == 0, F.lit(1.0)).otherwise(e["s"]))
 
 
 def vectorized_distribution(x, levels: list[int]):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.arrays import _pair, col
+from corvane.functions.arrays import _zip, col
 
 
 def _sum(x: Column) -> Column:
@@ -15,8 +15,7 @@ def _sum(x: Column) -> Column:
 
 
 def _terms(x, y, f) -> Column:
-    x, y = _pair(x, y)
-    return F.zip_with(x.cast("array<double>"), y.cast("array<double>"), f)
+    return _zip(col(x).cast("array<double>"), col(y).cast("array<double>"), f)
 
 
 def norm1(x):

@@ -293,7 +293,7 @@ def _pick(*pairs, last) -> Column:
     return out.otherwise(last)
 
 
-_PI, _EXP, _LN = F.lit(math.pi) if False else math.pi, F.exp, F.log
+_EXP, _LN = F.exp, F.log
 
 CLOSED = {
     "bernoulli": (

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.arrays import col
+from corvane.functions.arrays import col, let
 from corvane.functions.metrics import cosine_similarity  # noqa: F401
 
 KIND = "struct<n:array<bigint>,v:array<double>>"
@@ -17,16 +17,22 @@ KIND = "struct<n:array<bigint>,v:array<double>>"
 
 def to_array(s) -> Column:
     """All elements."""
-    s = col(s)
-    return F.flatten(F.zip_with(s["n"], s["v"], lambda n, v: F.array_repeat(v, n.cast("int"))))
+    return let(col(s), lambda s: F.flatten(F.zip_with(s["n"], s["v"], lambda n, v: F.array_repeat(v, n.cast("int")))))
 
 
 def from_array(x) -> Column:
     """The runs of an array."""
-    x = col(x).cast("array<double>")
+    return let(col(x).cast("array<double>"), _runs_of)
+
+
+def _runs_of(x: Column) -> Column:
     starts = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: (i == 1) | ~F.element_at(x, i).eqNullSafe(F.get(x, i - 2)))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(x) + 1))
-    made = F.struct(F.zip_with(starts, ends, lambda a, b: (b - a).cast("long")).alias("n"), F.transform(starts, lambda i: F.element_at(x, i)).alias("v"))
+
+    def of(starts):
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(x) + 1))
+        return F.struct(F.zip_with(starts, ends, lambda a, b: (b - a).cast("long")).alias("n"), F.transform(starts, lambda i: F.element_at(x, i)).alias("v"))
+
+    made = let(starts, of)
     empty = F.struct(F.array().cast("array<bigint>").alias("n"), F.array().cast("array<double>").alias("v"))
     return F.when(x.isNull(), F.lit(None).cast(KIND)).when(F.size(x) == 0, empty).otherwise(made)
 
@@ -62,7 +68,10 @@ def dimension(s) -> Column:
 
 def _binary(a, b, f) -> Column:
     """Element by element; both may be a svec or an array."""
-    x, y = _dense(a), _dense(b)
+    return let(F.struct(_dense(a).alias("x"), _dense(b).alias("y")), lambda z: _each(z["x"], z["y"], f))
+
+
+def _each(x: Column, y: Column, f) -> Column:
     n = F.greatest(F.size(x), F.size(y))
     grow = lambda z: F.when((F.size(z) == 1) & (n > 1), F.array_repeat(z[0], n)).otherwise(z)
     bad = (F.size(x) != F.size(y)) & (F.size(x) != 1) & (F.size(y) != 1)
@@ -125,8 +134,7 @@ def _key(s) -> Column:
 
 def compare(a, b):
     """-1, 0 or 1, lexicographically."""
-    x, y = _key(a), _key(b)
-    return F.when(x < y, -1).when(x == y, 0).when(x > y, 1)
+    return let(F.struct(_key(a).alias("x"), _key(b).alias("y")), lambda z: F.when(z["x"] < z["y"], -1).when(z["x"] == z["y"], 0).when(z["x"] > z["y"], 1))
 
 
 def eq(a, b):
@@ -154,8 +162,7 @@ def ge(a, b):
 
 
 def _runs(s, f) -> Column:
-    s = col(s)
-    return F.aggregate(F.zip_with(s["n"], s["v"], lambda n, v: n * f(v)), F.lit(0.0), lambda t, e: t + e)
+    return let(col(s), lambda s: F.aggregate(F.zip_with(s["n"], s["v"], lambda n, v: n * f(v)), F.lit(0.0), lambda t, e: t + e))
 
 
 def elsum(s):
@@ -185,13 +192,13 @@ def l2_compare(a, b):
 
 
 def angle(a, b):
-    n = l2norm(a) * l2norm(b)
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.when(n != 0, n))))
+    n = let(l2norm(a) * l2norm(b), lambda n: F.when(n != 0, n))
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / n)))
 
 
 def tanimoto_distance(a, b):
-    both, ab = _runs(a, lambda v: v * v) + _runs(b, lambda v: v * v), dot(a, b)
-    return F.when(both == ab, F.lit(0.0)).otherwise(1 - ab / F.when(both != ab, both - ab))
+    pair = F.struct((_runs(a, lambda v: v * v) + _runs(b, lambda v: v * v)).alias("s"), dot(a, b).alias("d"))
+    return let(pair, lambda z: F.when(z["s"] == z["d"], F.lit(0.0)).otherwise(1 - z["d"] / F.when(z["s"] != z["d"], z["s"] - z["d"])))
 
 
 def lapply(f, s):
@@ -206,8 +213,8 @@ def log(s):
 
 
 def normalize(s):
-    n = l2norm(s)
-    return from_array(F.transform(to_array(s), lambda e: F.when(n > 0, e / n).otherwise(e)))
+    pair = F.struct(to_array(s).alias("x"), l2norm(s).alias("n"))
+    return from_array(let(pair, lambda z: F.transform(z["x"], lambda e: F.when(z["n"] > 0, e / z["n"]).otherwise(e))))
 
 
 def count(a, b):
@@ -258,8 +265,8 @@ def reverse(s):
 
 def change(s, start: int, other):
     """The vector with the elements from `start` on replaced by another's."""
-    x, y = to_array(s), to_array(other)
-    return from_array(F.concat(F.slice(x, 1, start - 1), y, F.slice(x, F.size(y) + start, F.greatest(F.size(x), F.lit(1)))))
+    both = F.struct(to_array(s).alias("x"), to_array(other).alias("y"))
+    return from_array(let(both, lambda z: F.concat(F.slice(z["x"], 1, start - 1), z["y"], F.slice(z["x"], F.size(z["y"]) + start, F.greatest(F.size(z["x"]), F.lit(1))))))
 
 
 def hash_(s):
@@ -279,8 +286,7 @@ def nonbase_values(s, base: float = 0.0):
 
 def median(x):
     """Lower middle element of an array, or of a svec's elements."""
-    v = F.array_sort(_dense(x))
-    return F.element_at(v, F.floor((F.size(v) + 1) / 2).cast("int"))
+    return let(F.array_sort(_dense(x)), lambda v: F.element_at(v, F.floor((F.size(v) + 1) / 2).cast("int")))
 
 
 def term_counts(dictionary, document):

@@ -118,7 +118,7 @@ def bool_to_text(x) -> Column:
 
 def mode(x) -> Column:
     """Aggregate: the most frequent value; of several the smallest."""
-    return F.mode(expr(x), True) if False else F.expr(f"mode() WITHIN GROUP (ORDER BY {x})")
+    return F.expr(f"mode() WITHIN GROUP (ORDER BY {x})")
 
 
 def cleanup_temp_tables(spark, prefix: str = "corvane_temp") -> list[str]:
