@@ -298,3 +298,14 @@ def discrete_distribution(index, weight, levels: int):
 def array_elem_corr(x, y, width: int):
     """Aggregate: correlation of each element with y."""
     return F.array(*[F.corr(col(x)[i], col(y)) for i in range(width)])
+
+
+def array_union(x, order):
+    """Aggregate: arrays one after the other, in order."""
+    found = F.array_sort(F.collect_list(F.struct(col(order).alias("o"), col(x).alias("x"))))
+    return F.flatten(F.transform(found, lambda e: e["x"]))
+
+
+def array_agg(x):
+    """Aggregate: all values, nulls too."""
+    return F.expr(f"array_agg({x})") if isinstance(x, str) else F.array_agg(x)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions.hashing import unit
 from corvane.operators.checks import expr, names, quoted
 from corvane.operators.estimate import group_sums
 
@@ -112,6 +113,11 @@ def weight_of(stats: np.ndarray, criterion: str):
     return stats[..., 0] if criterion == "mse" else stats.sum(-1)
 
 
+def _bin(c, cuts: list[float]):
+    """How many cut points lie below a value."""
+    return F.size(F.filter(F.array(*[F.lit(float(v)) for v in cuts]), lambda s: s < c))
+
+
 @dataclass
 class Encoding:
     """How features become bin codes."""
@@ -126,7 +132,7 @@ class Encoding:
             c = expr(name)
             if cont:
                 c = c.cast("double")
-                code = F.size(F.filter(F.array(*[F.lit(float(v)) for v in b]), lambda s, c=c: s < c)) if b else F.lit(0)
+                code = _bin(c, b) if b else F.lit(0)
             else:
                 m = F.create_map(*[F.lit(v) for i, x in enumerate(b) for v in (str(x), i)]) if b else None
                 code = F.coalesce(m[c.cast("string")], F.lit(-1)) if m is not None else F.lit(-1)
@@ -250,7 +256,6 @@ def grow(rows: DataFrame, enc: Encoding, classes: list | None, criterion: str, m
 
 def poisson(ids: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """Bootstrap weight of each row in a tree: a Poisson deviate of mean 1, by a hash of the row's id."""
-    from corvane.functions.hashing import unit
 
     u = unit(ids.astype(np.int64), tree * 1_000_003 + seed)
     return np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)]), u).astype(float)
@@ -514,7 +519,7 @@ def tree_surr_display(model: DataFrame) -> str:
 def forest_train(df: DataFrame, y: str, features="*", exclude=(), num_trees: int = 20, num_random_features: int | None = None, importance: bool = True, num_permutations: int = 1, max_depth: int = 10, min_split: int = 20, min_bucket: int | None = None, num_splits: int = 20, seed: int = 0) -> dict[str, DataFrame]:
     """{model, summary, importance}: bootstrap by Poisson weights; the error is that of out-of-bag rows (weight 0).
 
-    Importance of a feature: how much the out-of-bag error grows when its values are permuted among rows.
+    Importance of a feature: how much the out-of-bag error grows when its values are exchanged among all rows.
     """
     classes = label_values(df, y) if is_classification(df, y) else None
     listed = expand(df, features, [*exclude, y])
@@ -543,6 +548,14 @@ def forest_train(df: DataFrame, y: str, features="*", exclude=(), num_trees: int
             seen[oob] += 1
         return out, seen
 
+    sizes = [len(b) + 2 if c else len(b) + 1 for c, b in zip(enc.continuous, enc.bins)]
+    marginals = group_sums(rows, [], {"_x": F.col("_x")}, lambda key, a: np.concatenate([np.bincount(a["_x"][:, f].astype(int) + 1, minlength=n) for f, n in enumerate(sizes)]))[()]
+    shares = [np.cumsum(v) / v.sum() for v in np.split(marginals, np.cumsum(sizes)[:-1])]
+
+    def drawn(f, ids, p):
+        """A feature's values in another order: each row draws from all rows' values, by a hash of its id."""
+        return np.searchsorted(shares[f], unit(ids.astype(np.int64), seed + 7919 * (p + 1) + 104729 * f)) - 1
+
     def error_kernel(key, a):
         """[rows, errors, errors with feature 0 permuted, ...]."""
         codes = a["_x"].astype(int)
@@ -553,7 +566,7 @@ def forest_train(df: DataFrame, y: str, features="*", exclude=(), num_trees: int
                 c = codes
                 if f >= 0:
                     c = codes.copy()
-                    c[:, f] = c[np.random.default_rng(seed + p).permutation(len(c)), f]
+                    c[:, f] = drawn(f, a["_id"], p)
                 v, seen = vote(c, a["_id"], shared.value)
                 ok = seen > 0
                 n += ok.sum()
@@ -636,3 +649,22 @@ def rf_train(df: DataFrame, features, y: str, num_trees: int = 10, features_per_
 def rf_score(model: dict[str, DataFrame], df: DataFrame, id_col: str, y: str) -> DataFrame:
     p = forest_predict(model, df, id_col).join(df.select(F.col(quoted(id_col)), expr(y).cast("string").alias("_y")), id_col)
     return p.agg(F.avg(F.when(F.col("prediction") == F.col("_y"), 1.0).otherwise(0.0)).alias("score"))
+
+
+def c45_display(model: DataFrame, max_depth: int | None = None) -> str:
+    """The tree as text, down to a depth."""
+    t = Tree.from_json(model.first().tree)
+    if max_depth is not None:
+        for n in t.nodes:
+            if n.depth >= max_depth:
+                n.feature = -1
+    return plain_text(t)
+
+
+def rf_display(model: dict[str, DataFrame], tree_ids: list[int] | None = None) -> str:
+    """Trees of a forest as text; all of them without ids."""
+    ids = tree_ids or [r.sample_id for r in model["model"].select("sample_id").orderBy("sample_id").toLocalIterator()]
+    return "\n".join(f"tree {i}\n{get_tree(model, i)}" for i in ids)
+
+
+rf_classify = forest_predict
