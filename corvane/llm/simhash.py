@@ -131,25 +131,36 @@ def _groups(f: np.ndarray, limit: int) -> np.ndarray:
     return label
 
 
+def _buckets(batches, names: list[str]):
+    """From rows sorted by bucket: their columns, and the first row and the size of each bucket, whole buckets at a time."""
+    held = None
+    for batch in _ended(batches):
+        now = [] if batch is None else [batch.column(c).to_numpy() for c in names]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)] if now else held
+        if not now or not len(now[0]):
+            continue
+        begins = np.concatenate(([0], np.flatnonzero(now[0][1:] != now[0][:-1]) + 1))
+        sizes = np.diff(np.append(begins, len(now[0])))
+        if batch is not None:  # the last bucket may go on
+            held = [x[begins[-1] :] for x in now]
+            begins, sizes = begins[:-1], sizes[:-1]
+        yield now, begins, sizes
+
+
+def _ended(batches):
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
 def _links(rows: DataFrame, lanes: int, limit: int) -> DataFrame:
     """(a, b): for each linked node of a bucket, the first node of its group in the bucket."""
     names = ["bucket", "node", *[f"f{k}" for k in range(lanes)]]
 
     def each(batches):
-        held = None
-        for batch in _ended(batches):
-            now = [] if batch is None else [batch.column(c).to_numpy() for c in names]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)] if now else held
-            if not now:
-                continue
-            bucket, node = now[0], now[1]
-            begins = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1))
-            stop = len(bucket) if batch is None else begins[-1]
-            held = None if batch is None else [x[stop:] for x in now]
-            f = np.stack(now[2:], axis=1).view(np.uint64)
-            sizes = np.diff(np.append(begins, len(bucket)))
-            begins, sizes = begins[begins < stop], sizes[: len(begins[begins < stop])]
+        for now, begins, sizes in _buckets(batches, names):
+            node, f = now[1], np.stack(now[2:], axis=1).view(np.uint64)
             pairs = begins[sizes == 2]
             near = pairs[np.bitwise_count(f[pairs] ^ f[pairs + 1]).sum(axis=1) <= limit]
             a, b = [node[near + 1]], [node[near]]
@@ -164,14 +175,77 @@ def _links(rows: DataFrame, lanes: int, limit: int) -> DataFrame:
     return ordered.mapInArrow(each, "a long, b long")
 
 
-def _ended(batches):
-    """The batches, then None."""
-    yield from batches
-    yield None
+def _met(nodes: DataFrame, lanes: int, radius: int, counts: bool) -> DataFrame:
+    """(bucket, node) of each node in each table of each lane; or (bucket, n) of those that a batch holds twice or more."""
+    tables = [np.array(masks(radius, k), np.int64).view(np.uint64) for k in range(lanes)]
+
+    def each(batches):
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            found = []
+            for k, lane in enumerate(tables):
+                f = batch.column(f"f{k}").to_numpy().view(np.uint64)
+                for t, mask in enumerate(lane):
+                    bucket = mix((f & mask) + np.uint64(k * len(lane) + t + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    if counts:
+                        value, times = np.unique(bucket, return_counts=True)
+                        found.append((value[times > 1], times[times > 1]))
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node)], names=["bucket", "node"])
+            if counts and found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v for v, _ in found])), pa.array(np.concatenate([t for _, t in found]))], names=["bucket", "n"])
+
+    return nodes.mapInArrow(each, "bucket long, n long" if counts else "bucket long, node long")
+
+
+def _shared_groups(rows: DataFrame) -> DataFrame:
+    """(bucket, node) of buckets with two nodes or more; buckets with the same nodes become one."""
+
+    def each(batches):
+        seen: set[int] = set()
+        for (bucket, node), begins, sizes in _buckets(batches, ["bucket", "node"]):
+            begins, sizes = begins[sizes > 1], sizes[sizes > 1]
+            if not len(begins):
+                continue
+            flat = ranges(begins, sizes)
+            sums = np.add.reduceat(mix(node[flat].view(np.uint64) + np.uint64(12345)), np.cumsum(sizes) - sizes).view(np.int64)
+            new = np.array([not (x in seen or seen.add(x)) for x in sums.tolist()], bool)
+            flat = ranges(begins[new], sizes[new])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sums[new], sizes[new])), pa.array(node[flat])], names=["bucket", "node"])
+
+    ordered = rows.repartition(parts(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(each, "bucket long, node long").distinct()
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Large buckets (bucket, node, ...) as pairs of blocks of about half of LIMIT nodes: each two nodes meet in one."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    blocks = rows.join(sizes, "bucket").withColumn("k", F.ceil(F.col("n") * 2 / LIMIT).cast("int"))
+    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
+    made = blocks.select("*", other).withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
+    return made.select(*rows.columns)
+
+
+def _lane_links(nodes: DataFrame, lanes: int, radius: int, limit: int) -> DataFrame:
+    """Links of nodes with several lanes. Buckets carry node numbers alone; fingerprints are joined to those that meet.
+
+    A bucket that two or more nodes of some batches share, LIMIT of them in all, is taken apart beforehand, so
+    that another bucket has at most LIMIT nodes and one for each batch.
+    """
+    rows = _met(nodes, lanes, radius, False)
+    hot = written(_met(nodes, lanes, radius, True).groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > LIMIT).select("bucket"), "hot")
+    if hot.isEmpty():
+        groups = _shared_groups(rows)
+    else:
+        groups = _shared_groups(rows.join(hot, "bucket", "left_anti")).union(_block_pairs(rows.join(hot, "bucket", "left_semi").select("bucket", "node")))
+    return _links(written(groups, "groups").join(nodes, "node"), lanes, limit)
 
 
 def near_links(nodes: DataFrame, lanes: int, radius: int, limit: int) -> DataFrame:
     """Links (a, b) between nodes (node, f0, ...) that meet in a table and differ in at most `limit` bits of all lanes."""
+    if lanes > 1:
+        return _lane_links(nodes, lanes, radius, limit)
     rows, found = _spread(nodes, lanes, radius, 0), []
     for level in range(1, LEVELS + 1):
         hot = written(rows.groupBy("bucket").count().filter(F.col("count") > LIMIT), "hot")
@@ -181,12 +255,7 @@ def near_links(nodes: DataFrame, lanes: int, radius: int, limit: int) -> DataFra
         rows = written(rows.join(hot.select("bucket"), "bucket", "left_semi"), "split")
         if level < LEVELS:
             rows = written(_spread(rows, lanes, radius, level).distinct(), "split")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    blocks = rows.join(sizes, "bucket").withColumn("k", F.ceil(F.col("n") * 2 / LIMIT).cast("int"))
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    pairs = blocks.select("*", other).withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
-    return _union([*found, _links(pairs, lanes, limit)])
+    return _union([*found, _links(_block_pairs(rows), lanes, limit)])
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

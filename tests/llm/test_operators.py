@@ -403,9 +403,26 @@ def test_near_copies_by_lanes(spark, tmp_path):
         rows.append((2 * k + 1, " ".join(w)))
     path = str(tmp_path / "d.parquet")
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
-    got = {r.doc_id: r.component_id for r in simhash.near_components(spark.read.parquet(path), 5, 3, 4, 0.8).collect()}
+    docs = spark.read.parquet(path)
+    got = {r.doc_id: r.component_id for r in simhash.near_components(docs, 5, 4, 8, 0.8).collect()}
     assert all(c in (i, i - i % 2) for i, c in got.items())
-    assert sum(got[2 * k + 1] == 2 * k for k in range(40)) >= 38
+    assert sum(got[2 * k + 1] == 2 * k for k in range(40)) >= 39
+
+
+def test_lanes_with_hot_buckets(spark, monkeypatch):
+    """Many near fingerprints, buckets far over the limit: all that meet and are near enough are linked."""
+    from corvane.llm.components import components
+
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(2)]
+    rows = [(k, *[b ^ sum(1 << x for x in rng.sample(range(64), rng.randrange(3))) for b in base]) for k in range(120)]
+    rows += [(200 + k, rng.getrandbits(64), rng.getrandbits(64)) for k in range(40)]
+    signed = [(k, *[x - (1 << 64) if x >> 63 else x for x in f]) for k, *f in rows]
+    nodes = spark.createDataFrame(signed, "node long, f0 long, f1 long")
+    for limit in (4096, 8):
+        monkeypatch.setattr(simhash, "LIMIT", limit)
+        found = {r.node: r.label for r in components(simhash.near_links(nodes, 2, 3, 12)).collect()}
+        assert {found.get(k) for k in range(120)} == {0} and not any(k >= 200 for k in found)
 
 
 def brute_decontam(docs, items, window=13):
