@@ -69,7 +69,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, min_share=0.05, with_text=False)
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, min_share=0.05, with_text=False).drop("n_near")
 
 
 QUERIES = {
@@ -78,7 +78,8 @@ QUERIES = {
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_COALESCED = _LOWER.format("coalesce(text, '')")
+_WORDS = f"regexp_extract_all({_COALESCED}, '" + r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _OP5 = r"""
 WITH words AS (
@@ -114,4 +115,27 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hot.k IS NOT NULL) AS
 FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": _OP5, "op8_line_dedup": _OP8}
+_OP10 = f"""
+WITH d AS (
+    SELECT doc_id, {_WORDS} AS w FROM documents
+), i AS (
+    SELECT item_id, {_WORDS} AS w FROM benchmark
+), iw AS (
+    SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[k:k + 12], ' ') AS key
+    FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS k FROM i WHERE len(w) > 0)
+), dw AS (
+    SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS key
+    FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+), hits AS (
+    SELECT dw.doc_id, dw.k, dw.n, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.key = iw.key
+), places AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM hits) GROUP BY 1
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM hits) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": _OP5, "op8_line_dedup": _OP8, "op10_decontam": _OP10}
