@@ -35,6 +35,8 @@ DROP_NAME = frozenset(
     "comment comments commentlist disqus discussion replies reply respond form login search pagination pager toolbar skip hidden copyright legal disclaimer".split()
 )
 NAME = re.compile(r"[a-z0-9]+")
+#: Names that tell what a layout has beside the element.
+NOT_OWN = ("no-", "has-", "with-", "without-", "is-", "js-")
 #: Elements that an opening block closes when they are left open; a paragraph is closed by all.
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -76,6 +78,8 @@ class Events(HTMLParser):
         if tag in VOID:
             return
         drop = self.stack[-1][2] or tag in DROP or bool(attrs) and dropped(tag, dict(attrs))
+        if tag in ("article", "main") and not any(d and t in DROP for t, _, d in self.stack):
+            drop = False  # what a name seemed to mark holds the article
         if drop and not self.stack[-1][2]:
             self.cut_inline(tag)
         self.made += 1
@@ -153,7 +157,8 @@ def dropped(tag: str, attrs: dict) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    return any(x in DROP_NAME for name in ("class", "id") for x in NAME.findall((attrs.get(name) or "").lower()))
+    names = [x for name in ("class", "id") for x in (attrs.get(name) or "").lower().split() if not x.startswith(NOT_OWN)]
+    return any(x in DROP_NAME for name in names for x in NAME.findall(name))
 
 
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:

@@ -251,6 +251,12 @@ def test_html_text(spark, tmp_path):
     assert html_text.extract(spark.read.parquet(path).filter("false")).count() == 0
 
 
+def test_html_names_of_layouts():
+    text = "A paragraph that is long enough to be the text of a page."
+    for before, after in (('<div class="has-sidebar main">', "</div>"), ('<div class="sidebar-layout"><article>', "</article></div>"), ("<main>", "</main>")):
+        assert html_text.main_text(f'<body>{before}<p>{text}</p><div class="post-comments"><p>me too</p></div>{after}<aside>more</aside></body>') == text
+
+
 def test_html_article_regions(spark, sf):
     """Synthetic pages: the text of the article, block by block."""
     import html
