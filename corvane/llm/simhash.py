@@ -186,7 +186,7 @@ def _met(nodes: DataFrame, lanes: int, radius: int, counts: bool) -> DataFrame:
             for k, lane in enumerate(tables):
                 f = batch.column(f"f{k}").to_numpy().view(np.uint64)
                 for t, mask in enumerate(lane):
-                    bucket = mix((f & mask) + np.uint64(k * len(lane) + t + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    bucket = mix((f & mask) + np.uint64((k * len(lane) + t + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)).view(np.int64)
                     if counts:
                         value, times = np.unique(bucket, return_counts=True)
                         found.append((value[times > 1], times[times > 1]))
