@@ -19,7 +19,7 @@ def _stats(df: DataFrame, columns: list[str], groups: list[str], distinct: bool,
         text = isinstance(kind, T.StringType)
         length = F.length(c).cast("double") if text else None
         values = {
-            "distinct_values": (F.approx_count_distinct(c) if estimates else F.countDistinct(c)) if distinct else F.lit(None).cast("long"),
+            "distinct_values": F.approx_count_distinct(c) if distinct and estimates else F.lit(None).cast("long"),
             "missing_values": F.count(F.when(c.isNull(), 1)),
             "blank_values": F.count(F.when(c.rlike(r"^\W*$"), 1)) if text else F.lit(None).cast("long"),
             "mean": F.avg(number) if number is not None else F.lit(None).cast("double"),
@@ -36,6 +36,8 @@ def _stats(df: DataFrame, columns: list[str], groups: list[str], distinct: bool,
         structs.append(F.struct(*fields))
     keys = [F.col(quoted(g)).alias(f"g_{k}") for k, g in enumerate(groups)]
     made = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), *aggregates)
+    if distinct and not estimates:
+        made = _exact_distinct(df, made, columns, keys)
     made = made.select(*[f"g_{k}" for k in range(len(groups))], "row_count", F.explode(F.array(*structs)).alias("s"))
     out = made.select(
         F.lit(",".join(groups) or None).cast("string").alias("group_by"),
@@ -55,6 +57,20 @@ def _stats(df: DataFrame, columns: list[str], groups: list[str], distinct: bool,
     return out
 
 
+def _exact_distinct(df: DataFrame, made: DataFrame, columns: list[str], keys: list) -> DataFrame:
+    """Fills in exact distinct counts: a distinct and a count for each column, rather than rows expanded for all of them."""
+    own = [f"g_{k}" for k in range(len(keys))]
+    for i, name in enumerate(columns):
+        c = F.col(quoted(name))
+        counts = df.filter(c.isNotNull()).select(*keys, c.alias("_v")).distinct().groupBy(*own).agg(F.count("*").alias("_d"))
+        counts = counts.select(*[F.col(g).alias(f"_{g}") for g in own], "_d")
+        same = F.lit(True)
+        for g in own:
+            same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+        made = made.join(counts, same, "left").withColumn(f"c{i}_distinct_values", F.coalesce("_d", F.lit(0))).drop("_d", *[f"_{g}" for g in own])
+    return made
+
+
 def frequent_values(df: DataFrame, columns: list[str], n: int, groups: list[str] = ()) -> DataFrame:
     """(group values, target_column, most_frequent_values, mfv_frequencies): the n most frequent values of each column, of equal ones the smaller."""
     pieces = F.explode(F.array(*[F.struct(F.lit(c).alias("target_column"), F.col(quoted(c)).cast("string").alias("value")) for c in columns])).alias("s")
