@@ -307,6 +307,24 @@ def test_quality_rejects_noise_and_splits_languages(spark, tmp_path, monkeypatch
     assert {r.doc_id: r.kept for r in quality.quality(docs).collect()} == one | {99: False}
 
 
+def test_quality_bands_reject_symbol_noise_and_keep_mixed_languages(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    syllables = {"a": "ta re lo mi san ter in".split(), "b": "ku pro ne wix zo gu ba".split()}
+    word = lambda x: "".join(rng.choice(syllables[x]) for _ in range(rng.randrange(1, 4)))
+    prose = lambda x, n: " ".join(word(x) for _ in range(n))
+    rows = [(i, prose("ab"[i % 2], rng.randrange(100, 300)), "ab"[i % 2]) for i in range(300)]
+    rows += [(1000 + i, " ".join(word("a") + rng.choice(["%%%", "***", "###"]) for _ in range(150)), "a") for i in range(12)]
+    rows += [(2000 + i, prose("ab"[i % 2], 100) + ". " + prose("ba"[i % 2], 100), "a") for i in range(6)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    one = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    assert not any(one[1000 + i] for i in range(12)) and all(one[2000 + i] for i in range(6))
+    assert sum(one[i] for i in range(300)) >= 294
+    monkeypatch.setattr(quality, "BROADCAST", 1)  # a pass for each language
+    assert {r.doc_id: r.kept for r in quality.quality(docs).collect()} == one
+
+
 def test_line_dedup(table, empty):
     for min_docs in (2, 10):
         docs = rows_of(table)
