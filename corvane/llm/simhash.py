@@ -4,7 +4,9 @@ A fingerprint lane has 64 bits. To find all pairs within `radius` bits, each bit
 radius + 1 bits, and there is a table for each non-zero vector v: its mask has the bits whose vector
 has an odd product with v. Any `radius` vectors leave some v orthogonal to all of them; that
 table's mask avoids all bits in which two such fingerprints differ, so they meet in it. With several
-lanes, each lane has its own tables, and pairs that meet are held against all lanes.
+lanes, each lane has its own tables, and pairs that meet are held against all lanes. With a similarity the
+tables only propose: their masks are cut to few bits, so that pairs further apart meet too, the bits of all
+lanes sort out most others, and the Jaccard similarity of the shingle sets themselves decides.
 
 Only distinct fingerprints enter the tables. A bucket of more than `LIMIT` of them is split by the same
 construction over its other bits, and at last into pairs of blocks; so no task holds more than two blocks.
@@ -12,6 +14,7 @@ construction over its other bits, and at last into pairs of blocks; so no task h
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -75,16 +78,26 @@ def majority(hashes: np.ndarray, each: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f0, f1, ...): 64-bit fingerprints of each text, as signed integers."""
+def sets(hashes: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text, cut to 32 bits and sorted, and each text's number of them."""
+    both = np.unique(np.repeat(np.arange(len(each), dtype=np.uint64), each) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF))
+    return both.astype(np.uint32), np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(each))
+
+
+def fingerprints(docs: DataFrame, size: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", with_sets: bool = False) -> DataFrame:
+    """(doc_id, f0, f1, ...): 64-bit fingerprints of each text, as signed integers; if `with_sets`, `shingles` too: its set of them."""
 
     def run(batch):
         h, each = shingle_hashes(words(batch.column("text"), lower=True), size)
-        found = [majority(h if k == 0 else mix(h + np.uint64(k)), each).view(np.int64) for k in range(lanes)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found)], names=["doc_id", *[f"f{k}" for k in range(lanes)]])
+        found = [pa.array(majority(h if k == 0 else mix(h + np.uint64(k)), each).view(np.int64)) for k in range(lanes)]
+        if with_sets:
+            data, n = sets(h, each)
+            offsets = np.concatenate(([0], np.cumsum(4 * n))).astype(np.int32)
+            found.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], names=["doc_id", *[f"f{k}" for k in range(lanes)], *["shingles"] * with_sets])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return per_slice(rows, run, f"doc_id {id_type(docs, id_col)}, " + ", ".join(f"f{k} long" for k in range(lanes)), limit=SLICE)
+    return per_slice(rows, run, f"doc_id {id_type(docs, id_col)}, " + ", ".join(f"f{k} long" for k in range(lanes)) + ", shingles binary" * with_sets, limit=SLICE)
 
 
 def masks(radius: int, level: int = 0) -> list[int]:
@@ -99,6 +112,16 @@ def masks(radius: int, level: int = 0) -> list[int]:
     return out
 
 
+def cut_masks(radius: int, level: int, bits: int) -> list[int]:
+    """The masks, each cut to at most `bits` of its bits: whatever meets by a mask meets by its part."""
+    rng, out = np.random.default_rng(1000 + level), []
+    for mask in masks(radius, level):
+        mine = [i for i in range(64) if mask >> i & 1]
+        part = sum(1 << i for i in rng.permutation(mine)[:bits].tolist())
+        out.append(part - (1 << 64) if part >= 1 << 63 else part)
+    return out
+
+
 def _spread(rows: DataFrame, lanes: int, radius: int, level: int) -> DataFrame:
     """Each row once for each table: (lane, mask, bucket, node, f...)."""
     names = ["node", *[f"f{k}" for k in range(lanes)]]
@@ -175,9 +198,9 @@ def _links(rows: DataFrame, lanes: int, limit: int) -> DataFrame:
     return ordered.mapInArrow(each, "a long, b long")
 
 
-def _met(nodes: DataFrame, lanes: int, radius: int, counts: bool) -> DataFrame:
+def _met(nodes: DataFrame, lanes: int, radius: int, counts: bool, bits: int = 64) -> DataFrame:
     """(bucket, node) of each node in each table of each lane; or (bucket, n) of those that a batch holds twice or more."""
-    tables = [np.array(masks(radius, k), np.int64).view(np.uint64) for k in range(lanes)]
+    tables = [np.array(cut_masks(radius, k, bits), np.int64).view(np.uint64) for k in range(lanes)]
 
     def each(batches):
         for batch in batches:
@@ -227,25 +250,107 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return made.select(*rows.columns)
 
 
-def _lane_links(nodes: DataFrame, lanes: int, radius: int, limit: int) -> DataFrame:
-    """Links of nodes with several lanes. Buckets carry node numbers alone; fingerprints are joined to those that meet.
+def _meetings(nodes: DataFrame, lanes: int, radius: int, bits: int = 64) -> DataFrame:
+    """(bucket, node, f0, ...) of nodes that meet. Buckets carry node numbers alone; fingerprints are joined to those that meet.
 
     A bucket that two or more nodes of some batches share, LIMIT of them in all, is taken apart beforehand, so
     that another bucket has at most LIMIT nodes and one for each batch.
     """
-    rows = _met(nodes, lanes, radius, False)
-    hot = written(_met(nodes, lanes, radius, True).groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > LIMIT).select("bucket"), "hot")
+    rows = _met(nodes, lanes, radius, False, bits)
+    hot = written(_met(nodes, lanes, radius, True, bits).groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > LIMIT).select("bucket"), "hot")
     if hot.isEmpty():
         groups = _shared_groups(rows)
     else:
         groups = _shared_groups(rows.join(hot, "bucket", "left_anti")).union(_block_pairs(rows.join(hot, "bucket", "left_semi").select("bucket", "node")))
-    return _links(written(groups, "groups").join(nodes, "node"), lanes, limit)
+    return written(groups, "groups").join(nodes, "node")
+
+
+def _near_groups(rows: DataFrame, lanes: int, limit: int) -> DataFrame:
+    """(bucket, node): nodes of a bucket that the bits of all lanes link, in groups; groups of the same nodes become one."""
+    names = ["bucket", "node", *[f"f{k}" for k in range(lanes)]]
+
+    def each(batches):
+        for now, begins, sizes in _buckets(batches, names):
+            node, f = now[1], np.stack(now[2:], axis=1).view(np.uint64)
+            pairs = begins[sizes == 2]
+            near = pairs[np.bitwise_count(f[pairs] ^ f[pairs + 1]).sum(axis=1) <= limit]
+            groups = np.stack((near, near + 1), axis=1).ravel()
+            n = np.full(len(near), 2)
+            for at, m in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                label = _groups(f[at : at + m], limit)
+                order = np.argsort(label, kind="stable")
+                _, times = np.unique(label, return_counts=True)
+                kept = np.repeat(times > 1, times)
+                groups, n = np.concatenate((groups, at + order[kept])), np.concatenate((n, times[times > 1]))
+            if len(n):
+                sums = np.add.reduceat(mix(node[groups].view(np.uint64) + np.uint64(12345)), np.cumsum(n) - n).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sums, n)), pa.array(node[groups])], names=["bucket", "node"])
+
+    ordered = rows.select(*names).repartition(parts(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(each, "bucket long, node long").distinct()
+
+
+def alike(data: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Index of the first set to which each is linked, directly or over others: those of Jaccard `similarity` or more."""
+    size = np.array([len(x) for x in data])
+    label, left = np.full(len(data), -1), np.arange(len(data))
+    while len(left):
+        root, left = left[0], left[1:]
+        label[root] = root
+        stack = [root]
+        while stack and len(left):
+            now = stack.pop()
+            a, b = size[now], size[left]
+            maybe = left[(np.minimum(a, b) >= similarity * np.maximum(a, b)) & (b > 0)]
+            if not a or not len(maybe):
+                continue
+            flat = np.concatenate([data[i] for i in maybe])
+            at = np.minimum(np.searchsorted(data[now], flat), a - 1)
+            both = np.add.reduceat((data[now][at] == flat).astype(np.int64), np.cumsum(size[maybe]) - size[maybe])
+            near = maybe[both >= similarity * (a + size[maybe] - both) - 1e-9]
+            label[near] = root
+            stack += near.tolist()
+            left = left[label[left] < 0]
+    return label
+
+
+def _alike_links(groups: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): nodes of the groups whose shingle sets (node, shingles) have the similarity, or that others of the group join."""
+
+    def each(batches):
+        rows = ((b, n, s) for batch in batches for b, n, s in zip(*[batch.column(c).to_pylist() for c in ("bucket", "node", "shingles")]))
+        for _, group in itertools.groupby(rows, lambda r: r[0]):
+            group = list(group)
+            node = np.array([n for _, n, _ in group])
+            label = alike([np.frombuffer(x, np.uint32) for _, _, x in group], similarity)
+            linked = np.flatnonzero(label != np.arange(len(node)))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["a", "b"])
+
+    ordered = groups.join(shingles, "node").repartition(parts(groups.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(each, "a long, b long")
+
+
+def similar_links(found: DataFrame, nodes: DataFrame, lanes: int, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes (node, f0, ...) of Jaccard `similarity` or more, of those that the tables propose.
+
+    A table's key has 4 bits more than numbers need, 20 at least: so few meet by chance, whatever the corpus. The
+    limit of bits is 4 standard deviations over what is expected at `similarity`.
+    """
+    n, share = 64 * lanes, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    limit = math.floor(n * share + 4 * math.sqrt(n * share * (1 - share)))
+    bits = max(20, nodes.count().bit_length() + 4)
+    groups = written(_near_groups(_meetings(nodes, lanes, radius, bits), lanes, limit), "near")
+    names = [f"f{k}" for k in range(lanes)]
+    mine = nodes.join(groups.select("node").distinct(), "node").hint("shuffle_hash")
+    shingles = found.select(*names, "shingles").join(mine, names).groupBy("node").agg(F.min("shingles").alias("shingles"))
+    return _alike_links(groups, written(shingles, "shingles"), similarity)
 
 
 def near_links(nodes: DataFrame, lanes: int, radius: int, limit: int) -> DataFrame:
     """Links (a, b) between nodes (node, f0, ...) that meet in a table and differ in at most `limit` bits of all lanes."""
     if lanes > 1:
-        return _lane_links(nodes, lanes, radius, limit)
+        return _links(_meetings(nodes, lanes, radius), lanes, limit)
     rows, found = _spread(nodes, lanes, radius, 0), []
     for level in range(1, LEVELS + 1):
         hot = written(rows.groupBy("bucket").count().filter(F.col("count") > LIMIT), "hot")
@@ -269,21 +374,21 @@ def near_components(docs: DataFrame, size: int = 3, radius: int = 3, lanes: int
     """One row for each document: doc_id, fingerprint (16 hex digits, of the first lane), component_id.
 
     Texts are lower-cased (A-Z) and cut into shingles of `size` words, repeats included. With one lane
-    all pairs of fingerprints within `radius` bits are linked. With several, pairs that meet in a table of some
-    lane are linked if the bits in which all lanes differ speak for a Jaccard similarity of `similarity` or
-    more. component_id is the least doc_id reachable over links, its own included.
+    all pairs of fingerprints within `radius` bits are linked. With `similarity`, pairs that meet in a table of
+    some lane are linked if their sets of shingles have a Jaccard similarity of `similarity` or more; texts
+    whose fingerprints agree in all lanes count as one. component_id is the least doc_id reachable over links, its own included.
 
     A null or empty text has fingerprint zero and is linked like any other. Null ids stay null and
     never count as least (a component of null ids alone has none); repeated rows appear each; other
     columns are ignored; an empty table gives an empty one.
     """
     names = [f"f{k}" for k in range(lanes)]
-    limit = radius if similarity is None else math.floor(64 * lanes * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    found = written(fingerprints(docs, size, lanes, id_col, text_col), "fingerprints")
+    found = written(fingerprints(docs, size, lanes, id_col, text_col, similarity is not None), "fingerprints")
     nodes = written(found.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    label = components(near_links(nodes.select("node", *names), lanes, radius, limit))
+    bare = nodes.select("node", *names)
+    label = components(near_links(bare, lanes, radius, radius) if similarity is None else similar_links(found, bare, lanes, radius, similarity))
     joined = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     by_print = written(joined.join(least, "label").select(*names, "component_id"), "classes")
-    out = found.join(by_print, names)
+    out = found.drop("shingles").join(by_print, names)
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

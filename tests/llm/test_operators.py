@@ -433,6 +433,30 @@ def test_near_copies_by_lanes(spark, tmp_path):
     assert sum(got[2 * k + 1] == 2 * k for k in range(40)) >= 39
 
 
+def five_word_sets(t):
+    w = (t or "").translate(LOW).split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_lanes_find_pairs_near_the_similarity(spark, tmp_path):
+    """Of pairs at 0.80 to 0.83, nearly all are linked; of pairs at 0.74 to 0.79, none."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(160):
+        w = [str(rng.randrange(10**6)) for _ in range(404)]
+        v = list(w)
+        changed = 40 if k < 80 else 52 + k % 9
+        v[200 : 200 + changed - 4] = [str(rng.randrange(10**6)) for _ in range(changed - 4)]  # touches `changed` shingles
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    shares = [len(a & b) / len(a | b) for a, b in ((five_word_sets(rows[i][1]), five_word_sets(rows[i + 1][1])) for i in range(0, 320, 2))]
+    assert all(0.8 <= x < 0.83 for x in shares[:80]) and all(0.73 < x < 0.795 for x in shares[80:])
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = {r.doc_id: r.component_id for r in simhash.near_components(spark.read.parquet(path), 5, 4, 8, 0.8).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(80)) >= 76
+    assert all(got[2 * k + 1] == 2 * k + 1 for k in range(80, 160))
+
+
 def test_lanes_with_hot_buckets(spark, monkeypatch):
     """Many near fingerprints, buckets far over the limit: all that meet and are near enough are linked."""
     from corvane.llm.components import components
