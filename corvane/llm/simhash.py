@@ -78,22 +78,23 @@ def majority(hashes: np.ndarray, each: np.ndarray) -> np.ndarray:
     return out
 
 
-def sets(hashes: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of each text, cut to 32 bits and sorted, and each text's number of them."""
-    both = np.unique(np.repeat(np.arange(len(each), dtype=np.uint64), each) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF))
-    return both.astype(np.uint32), np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(each))
+def distinct(hashes: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of each text, sorted by their last 32 bits, these alone, and each text's number of them."""
+    both, at = np.unique(np.repeat(np.arange(len(each), dtype=np.uint64), each) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF), return_index=True)
+    return hashes[at], both.astype(np.uint32), np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(each))
 
 
 def fingerprints(docs: DataFrame, size: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", with_sets: bool = False) -> DataFrame:
-    """(doc_id, f0, f1, ...): 64-bit fingerprints of each text, as signed integers; if `with_sets`, `shingles` too: its set of them."""
+    """(doc_id, f0, f1, ...): 64-bit fingerprints of each text, as signed integers; if `with_sets`, of its distinct shingles, with these as `shingles`."""
 
     def run(batch):
         h, each = shingle_hashes(words(batch.column("text"), lower=True), size)
+        if with_sets:
+            h, data, each = distinct(h, each)
         found = [pa.array(majority(h if k == 0 else mix(h + np.uint64(k)), each).view(np.int64)) for k in range(lanes)]
         if with_sets:
-            data, n = sets(h, each)
-            offsets = np.concatenate(([0], np.cumsum(4 * n))).astype(np.int32)
-            found.append(pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+            offsets = np.concatenate(([0], np.cumsum(4 * each))).astype(np.int32)
+            found.append(pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], names=["doc_id", *[f"f{k}" for k in range(lanes)], *["shingles"] * with_sets])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -373,7 +374,7 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def near_components(docs: DataFrame, size: int = 3, radius: int = 3, lanes: int = 1, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, fingerprint (16 hex digits, of the first lane), component_id.
 
-    Texts are lower-cased (A-Z) and cut into shingles of `size` words, repeats included. With one lane
+    Texts are lower-cased (A-Z) and cut into shingles of `size` words, repeats included unless `similarity` is given. With one lane
     all pairs of fingerprints within `radius` bits are linked. With `similarity`, pairs that meet in a table of
     some lane are linked if their sets of shingles have a Jaccard similarity of `similarity` or more; texts
     whose fingerprints agree in all lanes count as one. component_id is the least doc_id reachable over links, its own included.

@@ -457,6 +457,19 @@ def test_lanes_find_pairs_near_the_similarity(spark, tmp_path):
     assert all(got[2 * k + 1] == 2 * k + 1 for k in range(80, 160))
 
 
+def test_lanes_take_shingles_as_sets(spark, tmp_path):
+    """A copy with one line added forty times has nearly the same set of shingles."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(10):
+        w = [str(rng.randrange(10**6)) for _ in range(404)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w) + ("\n" + " ".join(f"line{k}{x}" for x in range(8))) * 40)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = {r.doc_id: r.component_id for r in simhash.near_components(spark.read.parquet(path), 5, 4, 8, 0.8).collect()}
+    assert got == {i: i - i % 2 for i in range(20)}
+
+
 def test_lanes_with_hot_buckets(spark, monkeypatch):
     """Many near fingerprints, buckets far over the limit: all that meet and are near enough are linked."""
     from corvane.llm.components import components
