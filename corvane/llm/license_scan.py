@@ -44,6 +44,7 @@ TEMPLATES = [
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("proprietary", "all rights reserved", ["all rights reserved"]),
     ("proprietary", "copyright all rights reserved no part of this work may be reproduced", ["all rights reserved"]),
 ]
 

@@ -180,6 +180,12 @@ def test_license_scan(table, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_license_labels_short_reserved_notice():
+    lines = ["Licensed under CC BY-NC 4.0.", "All rights reserved.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."]
+    out = license_scan.scan(pa.array(["some words. " + x + " and more" for x in lines]), license_scan.make_index(), 0.7)
+    assert out["labels"] == ["cc-by-nc", "proprietary", "mit", "gpl"]
+
+
 def brute_substrings(docs, width):
     """docs in order; (n_words, n_removed, kept) of each."""
     seen, out = set(), []
