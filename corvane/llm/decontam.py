@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import units as U
-from corvane.llm.arrays import ALNUM, owner, words
+from corvane.llm.arrays import ALNUM, ranges, words
 from corvane.llm.shared import written
 
-#: Characters of test items that one search holds; a larger test set is searched in blocks.
-BLOCK_CHARS = 16 << 20
+#: Words of test items that one search holds (some 50 bytes each); a larger test set is searched in blocks.
+BLOCK_WORDS = 1 << 20
+#: Postings of rarest terms that are followed at once.
+CHUNK = 1 << 20
 _INDEX = "unit long, n long, first binary, terms binary, offsets binary, positions binary"
 
 
@@ -68,81 +70,124 @@ def term_counts(index: DataFrame) -> DataFrame:
 
 
 class Searches:
-    """Windows of test items, ready to be searched: terms as codes, rarest first."""
+    """Windows of test items, ready to be searched, in flat arrays: a window is a place in the items' stream of term codes.
+
+    Each distinct window is held once, with the items that have it. `rank` orders a window's terms by their
+    counts in the corpus and files it under its rarest one, so that a unit only touches windows (and items)
+    whose rarest term it holds.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], window: int, rare_terms: int):
         w, h = _terms(pa.array([t for _, t in items], pa.string()))
-        self.terms = np.unique(h)
-        code = np.searchsorted(self.terms, h)
+        self.terms, at, code = np.unique(h, return_index=True, return_inverse=True)
+        self.names = [bytes(w.raw[a:b]) for a, b in zip(w.start[at].tolist(), w.end[at].tolist())]
         self.ids = [None if i is None else str(i) for i, _ in items]
-        found: dict[tuple, set[int]] = {}
-        self.item_codes = []
-        for k, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
-            mine = code[a:b].tolist()
-            self.item_codes.append(mine)
-            for i in range(max(len(mine) - window, 0) + 1 if mine else 0):
-                found.setdefault(tuple(mine[i : i + window]), set()).add(k)
-        self.windows = [(np.array(x), sorted(s)) for x, s in found.items()]
-        self.rare_terms = rare_terms
+        self.rare_terms, self.codes, self.first = rare_terms, code.astype(np.int32), w.first
+        n = w.counts
+        each = np.where(n > 0, np.maximum(n - window, 0) + 1, 0)
+        start, item = ranges(w.first[:-1], each), np.repeat(np.arange(len(n)), each)
+        size = np.minimum(n, window)[item]
+        self.windows, self.window_items = {}, {}
+        for k in np.unique(size).tolist():
+            mine = np.flatnonzero(size == k)
+            stream = np.ascontiguousarray(self.codes[start[mine][:, None] + np.arange(k)])
+            _, kept, group = np.unique(stream.view(f"V{4 * k}").ravel(), return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack((group, item[mine]), axis=1), axis=0)
+            self.windows[k] = start[mine][kept]
+            self.window_items[k] = (np.searchsorted(pairs[:, 0], np.arange(len(kept) + 1)), pairs[:, 1])
 
     def rank(self, counts: dict[int, int]) -> None:
-        """Orders each window's terms by their counts in the corpus."""
-        self.counts = np.array([counts.get(int(t), 0) for t in self.terms.view(np.int64)], np.int64)
-        self.by_size = {}
-        for k, (x, _) in enumerate(self.windows):
-            self.by_size.setdefault(len(x), []).append(k)
-        self.by_size = {n: (np.array(ks), np.stack([self.windows[k][0] for k in ks])) for n, ks in self.by_size.items()}
-        self.rare = []
-        for mine in self.item_codes:
-            distinct = np.unique(np.array(mine, np.int64))
-            self.rare.append(distinct[np.argsort(self.counts[distinct], kind="stable")][: self.rare_terms])
-
-    def postings(self, terms: np.ndarray, offsets: np.ndarray, positions: np.ndarray):
-        """Which of the test terms a unit has, and a function that gives a term's positions."""
-        at = np.searchsorted(terms, self.terms)
-        at[at == len(terms)] = 0
-        there = terms[at] == self.terms if len(terms) else np.zeros(len(self.terms), bool)
-        return there, lambda c: positions[offsets[at[c]] : offsets[at[c] + 1]].astype(np.int64)
-
-    def phrases(self, there, of, first: np.ndarray):
-        """(window, first word) of each exact match inside one document."""
-        for n, (ks, codes) in self.by_size.items():
-            for k in ks[there[codes].all(axis=1)].tolist():
-                x = self.windows[k][0]
-                order = np.argsort(self.counts[x], kind="stable")
-                found = of(x[order[0]]) - order[0]
-                for i in order[1:]:
-                    if not len(found):
-                        break
-                    found = found[_among(found + i, of(x[i]))]
-                found = found[(found >= 0)]
-                if len(found):
-                    doc = np.searchsorted(first, found, side="right") - 1
-                    found = found[found + n <= first[doc + 1]]
-                    if len(found):
-                        yield k, n, found
-
-    def near(self, there, of, first: np.ndarray, span: int):
+        """Orders terms by their counts in the corpus; of equal counts the one whose bytes come first is the rarer."""
+        n = np.array([counts.get(x, 0) for x in self.terms.view(np.int64).tolist()], np.int64)
+        by_name = np.empty(len(n), np.int64)
+        by_name[sorted(range(len(n)), key=self.names.__getitem__)] = np.arange(len(n))
+        self.place = np.empty(len(n), np.int32)
+        self.place[np.lexsort((by_name, n))] = np.arange(len(n))
+        self.names = None
+        self.orders, self.filed = {}, {}
+        for k, start in self.windows.items():
+            order = np.argsort(self.place[self.codes[start[:, None] + np.arange(k)]], axis=1, kind="stable").astype(np.min_scalar_type(k))
+            self.orders[k] = order
+            self.filed[k] = self._filed(self.codes[start + order[:, 0]])
+        rare = []
+        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist()):
+            mine = np.unique(self.codes[a:b])
+            mine = mine[np.argsort(self.place[mine])][: self.rare_terms]
+            rare.append(np.pad(mine, (0, self.rare_terms - len(mine)), mode="edge") if len(mine) else np.full(self.rare_terms, -1))
+        self.rare = np.array(rare, np.int64).reshape(-1, self.rare_terms)
+        self.rare_filed = self._filed(self.rare[:, 0])
+
+    def _filed(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the given things by their term: where each term's begin, and the numbers."""
+        order = np.argsort(term, kind="stable")
+        return np.searchsorted(term[order], np.arange(len(self.terms) + 1)), order
+
+    @staticmethod
+    def _under(filed: tuple[np.ndarray, np.ndarray], terms: np.ndarray) -> np.ndarray:
+        begin, numbers = filed
+        return numbers[ranges(begin[terms], begin[terms + 1] - begin[terms])]
+
+    def postings(self, terms: np.ndarray, offsets: np.ndarray, positions: np.ndarray, n_tokens: int) -> Postings:
+        code = np.searchsorted(self.terms, terms)
+        code[code == len(self.terms)] = 0
+        known = self.terms[code] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        return Postings(len(self.terms), code[known], offsets[:-1][known], np.diff(offsets)[known], positions.astype(np.int64), n_tokens)
+
+    def phrases(self, found: Postings, first: np.ndarray):
+        """(windows, first words, length) of exact matches inside one document, a limited number of postings at a time."""
+        for k, start in self.windows.items():
+            mine = self._under(self.filed[k], found.here)
+            for i in range(1, k):  # windows of which a term is missing drop out, rarest terms first
+                mine = mine[found.size[self.codes[start[mine] + self.orders[k][mine, i]]] > 0]
+            rarest = self.codes[start[mine] + self.orders[k][mine, 0]] if len(mine) else np.empty(0, np.int64)
+            ends = np.cumsum(found.size[rarest])
+            for some in np.split(np.arange(len(mine)), np.flatnonzero(np.diff(ends // CHUNK)) + 1):
+                window = np.repeat(mine[some], found.size[rarest[some]])
+                at = found.positions[ranges(found.begin[rarest[some]], found.size[rarest[some]])] - self.orders[k][window, 0]
+                inside = (at >= 0) & (at + k <= len(found.code))
+                window, at = window[inside], at[inside]
+                for i in range(1, k):  # the lists, less their offsets, are intersected from the rarest term on
+                    offset = self.orders[k][window, i]
+                    same = found.code[at + offset] == self.codes[start[window] + offset]
+                    window, at = window[same], at[same]
+                whole = at + k <= first[np.searchsorted(first, at, side="right")] if len(at) else np.zeros(0, bool)
+                if whole.any():
+                    yield window[whole], at[whole], k
+
+    def items_of(self, k: int, windows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of document and item for windows found in documents."""
+        begin, items = self.window_items[k]
+        n = begin[windows + 1] - begin[windows]
+        pairs = np.unique(np.stack((np.repeat(docs, n), items[ranges(begin[windows], n)]), axis=1), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+    def near(self, found: Postings, first: np.ndarray, span: int):
         """(item, documents) where all of an item's rarest terms stand within `span` words of the rarest."""
-        for k, rare in enumerate(self.rare):
-            if not len(rare) or not there[rare].all():
-                continue
-            found = of(rare[0])
-            doc = np.searchsorted(first, found, side="right") - 1
-            ok = np.ones(len(found), bool)
-            for c in rare[1:]:
-                p = of(c)
-                lo = np.maximum(found - span, first[doc])
-                hi = np.minimum(found + span, first[doc + 1] - 1)
-                ok &= np.searchsorted(p, lo) < np.searchsorted(p, hi, side="right")
-            if ok.any():
-                yield k, np.unique(doc[ok])
-
-
-def _among(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(sorted_values, values)
-    at[at == len(sorted_values)] = 0
-    return sorted_values[at] == values
+        items = self._under(self.rare_filed, found.here)
+        for k in items[(found.size[self.rare[items]] > 0).all(axis=1)].tolist():
+            at = found.of(self.rare[k, 0])
+            doc = np.searchsorted(first, at, side="right") - 1
+            for c in np.unique(self.rare[k, 1:]).tolist():
+                p = found.of(c)
+                lo, hi = np.maximum(at - span, first[doc]), np.minimum(at + span, first[doc + 1] - 1)
+                ok = np.searchsorted(p, lo) < np.searchsorted(p, hi, side="right")
+                at, doc = at[ok], doc[ok]
+            if len(at):
+                yield k, np.unique(doc)
+
+
+class Postings:
+    """A unit's postings by the codes of test terms: where each term's positions begin and how many there are; `code`: the term at each position, or -1."""
+
+    def __init__(self, n_terms: int, here: np.ndarray, begin: np.ndarray, size: np.ndarray, positions: np.ndarray, n_tokens: int):
+        self.here, self.positions = here, positions
+        self.begin, self.size = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
+        self.begin[here], self.size[here] = begin, size
+        self.code = np.full(n_tokens, -1, np.int32)
+        self.code[positions[ranges(begin, size)]] = np.repeat(here, size)
+
+    def of(self, term: int) -> np.ndarray:
+        return self.positions[self.begin[term] : self.begin[term] + self.size[term]]
 
 
 _MATCHES = pa.schema([("unit", pa.int64()), ("start", pa.binary()), ("length", pa.binary()), ("docs", pa.binary()), ("items", pa.list_(pa.string())), ("near_docs", pa.binary()), ("near_items", pa.list_(pa.string()))])
@@ -157,14 +202,14 @@ def search(index: DataFrame, searches: Searches, span: int) -> DataFrame:
         for batch in batches:
             for unit, *data in zip(*[batch.column(c).to_pylist() for c in ("unit", "first", "terms", "offsets", "positions")]):
                 first, terms, offsets, positions = (np.frombuffer(x, t) for x, t in zip(data, (np.int64, np.uint64, np.int64, np.uint32)))
-                there, of = s.postings(terms, offsets, positions)
+                here = s.postings(terms, offsets, positions, int(first[-1]))
                 start, length, pairs = [], [], set()
-                for k, n, found in s.phrases(there, of, first):
-                    start.append(found)
-                    length.append(np.full(len(found), n))
-                    docs = np.unique(np.searchsorted(first, found, side="right") - 1).tolist()
-                    pairs |= {(d, s.ids[i]) for d in docs for i in s.windows[k][1]}
-                near = [(d, s.ids[k]) for k, docs in s.near(there, of, first, span) for d in docs.tolist()]
+                for windows, at, n in s.phrases(here, first):
+                    start.append(at)
+                    length.append(np.full(len(at), n))
+                    docs, items = s.items_of(n, windows, np.searchsorted(first, at, side="right") - 1)
+                    pairs |= {(d, s.ids[i]) for d, i in zip(docs.tolist(), items.tolist())}
+                near = [(d, s.ids[k]) for k, docs in s.near(here, first, span) for d in docs.tolist()]
                 if start or near:
                     pairs = list(pairs)
                     join = lambda x: np.concatenate(x).astype(np.int64).tobytes() if x else b""
@@ -177,11 +222,11 @@ def search(index: DataFrame, searches: Searches, span: int) -> DataFrame:
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str):
-    """The test items in lists of at most BLOCK_CHARS characters (or one item)."""
+    """The test items in lists of at most BLOCK_WORDS words, as counted by half their characters (or one item)."""
     block, size = [], 0
     for row in items.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).toLocalIterator():
-        n = len(row.t or "")
-        if block and size + n > BLOCK_CHARS:
+        n = (len(row.t or "") + 1) // 2
+        if block and size + n > BLOCK_WORDS:
             yield block
             block, size = [], 0
         block.append((row.i, row.t))
@@ -210,7 +255,8 @@ def decontaminate(
     `window` consecutive words of an item, or a shorter item whole. Returns doc_id, n_words, n_hit (words
     in an occurring window), n_items (items of which one occurs), items_sha256 (their ids as strings,
     sorted, joined by commas), contaminated (n_hit > 0 and n_hit / n_words >= min_share), n_near (items
-    whose `rare_terms` rarest terms stand within `span` words) and, if `with_text`, `kept`: the text
+    whose `rare_terms` rarest terms, by their counts in `docs`, stand within `span` words of the rarest;
+    of equal counts the first by bytes), near_items (their ids as strings, sorted, joined by commas) and, if `with_text`, `kept`: the text
     without the hit words. The `carry` columns follow as they are.
 
     Null and empty texts have no words and no hits; items without words match nothing; items with a null
@@ -233,8 +279,9 @@ def decontaminate(
         found = rows.sparkSession.createDataFrame([], "unit long, start binary, length binary, docs binary, items array<string>, near_docs binary, near_items array<string>")
     matches = found.groupBy("unit").agg(F.collect_list(F.struct("start", "length", "docs", "items", "near_docs", "near_items")).alias("matches"))
     units = U.packed(rows) if with_text else _ids_only(rows, carry)
-    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long" + ", kept string" * with_text + U.carried(docs, carry)
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", *["kept"] * with_text, *carry]
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "near_items", *["kept"] * with_text]
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long, near_items string" + ", kept string" * with_text + U.carried(docs, carry, names)
+    names += carry
 
     def judge(batches):
         for some in batches:
@@ -253,17 +300,18 @@ def decontaminate(
                 hit = np.cumsum(cover)[:-1] > 0
                 sums = np.concatenate(([0], np.cumsum(hit)))[first]
                 n_words, n_hit = np.diff(first), np.diff(sums)
-                listed = [sorted(x for x in items.get(d, ()) if x is not None) for d in range(batch.num_rows)]
+                listed, close = ([sorted(x for x in of.get(d, ()) if x is not None) for d in range(batch.num_rows)] for of in (items, near))
                 columns = [
                     batch.column("doc_id"), pa.array(n_words), pa.array(n_hit),
                     pa.array([len(x) for x in listed], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed], pa.string()),
                     pa.array((n_hit > 0) & (n_hit >= min_share * n_words - 1e-9)),
-                    pa.array([len(near.get(d, ())) for d in range(batch.num_rows)], pa.int64()),
+                    pa.array([len(x) for x in close], pa.int64()),
+                    pa.array([",".join(x) for x in close], pa.string()),
                 ]
                 if with_text:
                     columns.append(_without(batch.column("text"), hit, n_hit))
-                columns += [batch.column(c) for c in carry]
+                columns += U.carry_of(batch, carry)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     joined = units.join(shape.select("unit", "first"), "unit").join(matches, "unit", "left")
@@ -274,7 +322,7 @@ def _ids_only(rows: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """Packed units without their texts."""
 
     def run(unit, batch):
-        yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([U.freeze(batch.select(["doc_id", *carry]))], pa.binary())], names=["unit", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([U.freeze(batch.select(["doc_id", *U.carry_names(carry)]))], pa.binary())], names=["unit", "blob"])
 
     return U.per_unit(rows, run, "unit long, blob binary")
 
@@ -284,12 +332,11 @@ def _without(texts: pa.Array, hit: np.ndarray, n_hit: np.ndarray) -> pa.Array:
     out = texts.to_pylist()
     if n_hit.any():
         w = words(texts, ALNUM, lower=True)
-        own = owner(w.first)
         sizes = [len((t or "").encode()) for t in out]
         base = np.concatenate(([0], np.cumsum(sizes)))
         for d in np.flatnonzero(n_hit).tolist():
             raw, parts, at = out[d].encode(), [], 0
-            for k in np.flatnonzero(hit & (own == d)).tolist():
+            for k in (w.first[d] + np.flatnonzero(hit[w.first[d] : w.first[d + 1]])).tolist():
                 parts.append(raw[at : w.start[k] - base[d]])
                 at = w.end[k] - base[d]
             out[d] = b"".join([*parts, raw[at:]]).decode()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import units as U
 from corvane.llm.arrays import LOWER, mix
-from corvane.llm.shared import parts, written
+from corvane.llm.shared import written
 
 SPACE = b" \t\n\r\x0b\x0c"
 _LOWER = LOWER.tobytes()
@@ -29,15 +29,21 @@ class PerfectHash:
 
     Level by level, a key that no other key meets in the level's bit array takes its bit; the rest go
     on to the next level. A key's slot is the number of bits set before its own. A key that isn't of
-    the set gets any slot or -1; fingerprints tell.
+    the set gets any slot or -1; fingerprints tell. What is left after LEVELS levels, such as equal keys, stays
+    in `left` and gets no slot.
     """
 
     GAMMA = 1.5
+    LEVELS = 64
 
     def __init__(self, keys: np.ndarray | None = None, sizes: np.ndarray | None = None, bits: np.ndarray | None = None):
+        self.left = np.empty(0, np.uint64)
         if keys is not None:
             levels, sizes_of, level = [], [], 0
             while len(keys):
+                if level == self.LEVELS:
+                    self.left = keys
+                    break
                 size = max(64, int(self.GAMMA * len(keys)))
                 at = self._at(keys, level, size)
                 times = np.bincount(at, minlength=size)
@@ -100,7 +106,10 @@ def _looked_up(batch: pa.RecordBatch, min_chars: int):
 
 
 def line_index(keys: DataFrame) -> DataFrame:
-    """(shard, n, sizes, bits, prints, counts): each shard's perfect hash, fingerprints and document counts by slot."""
+    """(shard, n, sizes, bits, prints, counts, rest): each shard's perfect hash, fingerprints and document counts by slot.
+
+    `rest` has the keys that got no slot, as both hashes and the count, and is nearly always empty.
+    """
 
     def build(key, table):
         one, two = (np.concatenate([np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()]) for c in ("one", "two"))
@@ -114,14 +123,16 @@ def line_index(keys: DataFrame) -> DataFrame:
         one, two = one[starts], two[starts]
         mixed = one ^ mix(two)
         h = PerfectHash(mixed)
-        slot = h.slots(mixed)
-        prints, by_slot = np.empty(len(one), np.uint64), np.empty(len(one), np.uint32)
-        prints[slot] = two
-        by_slot[slot] = np.minimum(counts, 2**32 - 1)
-        data = {"shard": [key[0].as_py()], "n": [len(one)], "sizes": [h.sizes.tobytes()], "bits": [np.packbits(h.bits).tobytes()], "prints": [prints.tobytes()], "counts": [by_slot.tobytes()]}
-        return pa.Table.from_pydict(data, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64())] + [(c, pa.binary()) for c in ("sizes", "bits", "prints", "counts")]))
+        placed = ~np.isin(mixed, h.left)
+        slot, n = h.slots(mixed[placed]), int(placed.sum())
+        prints, by_slot = np.empty(n, np.uint64), np.empty(n, np.uint32)
+        prints[slot] = two[placed]
+        by_slot[slot] = np.minimum(counts[placed], 2**32 - 1)
+        rest = np.stack((one[~placed], two[~placed], counts[~placed].astype(np.uint64)), axis=1)
+        data = {"shard": [key[0].as_py()], "n": [len(one)], "sizes": [h.sizes.tobytes()], "bits": [np.packbits(h.bits).tobytes()], "prints": [prints.tobytes()], "counts": [by_slot.tobytes()], "rest": [rest.tobytes()]}
+        return pa.Table.from_pydict(data, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64())] + [(c, pa.binary()) for c in ("sizes", "bits", "prints", "counts", "rest")]))
 
-    return keys.groupBy("shard").applyInArrow(build, "shard long, n long, sizes binary, bits binary, prints binary, counts binary")
+    return keys.groupBy("shard").applyInArrow(build, "shard long, n long, sizes binary, bits binary, prints binary, counts binary, rest binary")
 
 
 def _probe(keys: DataFrame, index: DataFrame, min_docs: int) -> DataFrame:
@@ -132,11 +143,14 @@ def _probe(keys: DataFrame, index: DataFrame, min_docs: int) -> DataFrame:
         sizes = np.frombuffer(row["sizes"], np.int64)
         h = PerfectHash(sizes=sizes, bits=np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=int(sizes.sum())).astype(bool))
         prints, counts = np.frombuffer(row["prints"], np.uint64), np.frombuffer(row["counts"], np.uint32)
+        rest = {(a, b): n for a, b, n in np.frombuffer(row["rest"], np.uint64).reshape(-1, 3).tolist()}
         bits = []
         for a, b in zip(table.column("one").to_pylist(), table.column("two").to_pylist()):
             one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             slot = h.slots(one ^ mix(two))
-            found = (slot >= 0) & (prints[slot] == two) & (counts[slot] >= min_docs)
+            found = (slot >= 0) & (prints[slot] == two) & (counts[slot] >= min_docs) if len(prints) else np.zeros(len(one), bool)
+            if rest:
+                found |= np.array([rest.get(x, 0) >= min_docs for x in zip(one.tolist(), two.tolist())], bool)
             bits.append(np.packbits(found).tobytes() if found.any() else None)
         out = table.select(["shard", "unit", "n"]).append_column("bits", pa.array(bits, pa.binary()))
         return out.filter(pa.compute.is_valid(out.column("bits")))
@@ -166,14 +180,14 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, with_tex
     empty text; each row counts as a document of its own, so that repeated rows count each; other
     columns are ignored; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
     rows = U.source(docs, id_col, text_col, carry)
-    shards = max(8, parts(spark) // 3)
+    shards = U.shards_of(rows)
     keys = written(_keys(rows, min_chars, shards), "line-keys")
     index = written(line_index(keys.select("shard", "one", "two", "docs")), "line-index")
     answers = written(_probe(keys.select("shard", "unit", "n", "one", "two"), index, min_docs), "line-answers")
-    schema = f"doc_id {U.doc_type(rows)}, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * with_text + U.carried(docs, carry)
-    names = ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"][: 4 + with_text] + list(carry)
+    names = ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"][: 4 + with_text]
+    schema = f"doc_id {U.doc_type(rows)}, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * with_text + U.carried(docs, carry, names)
+    names += carry
 
     def drop(batches):
         for some in batches:
@@ -186,7 +200,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, with_tex
                 columns = [batch.column("doc_id"), pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) - len(k) for x, k in zip(lines, kept)], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string())]
                 if with_text:
                     columns.append(pa.array([x.decode() for x in data], pa.string()))
-                columns += [batch.column(c) for c in carry]
+                columns += U.carry_of(batch, carry)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return U.answered(U.packed(rows), answers).select("blob", "answers").mapInArrow(drop, schema)

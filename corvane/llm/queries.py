@@ -69,7 +69,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, min_share=0.05, with_text=False).drop("n_near")
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, min_share=0.05, with_text=False)
 
 
 QUERIES = {
@@ -130,12 +130,29 @@ WITH d AS (
     SELECT dw.doc_id, dw.k, dw.n, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.key = iw.key
 ), places AS (
     SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM hits) GROUP BY 1
+), corpus AS (
+    SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM d) GROUP BY t
+), terms AS (
+    SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), t) AS r
+    FROM (SELECT DISTINCT item_id, unnest(w) AS t FROM i) LEFT JOIN corpus USING (t)
+), rare AS (
+    SELECT item_id, t, r, count(*) OVER (PARTITION BY item_id) AS m FROM terms WHERE r <= 4
+), spots AS (
+    SELECT doc_id, t, p FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d) WHERE t IN (SELECT t FROM rare)
+), close AS (
+    SELECT DISTINCT item_id, doc_id FROM (
+        SELECT a.item_id, x.doc_id, x.p, any_value(a.m) AS m, count(DISTINCT b.t) AS k
+        FROM rare a JOIN spots x ON a.t = x.t JOIN rare b ON a.item_id = b.item_id JOIN spots y ON b.t = y.t AND x.doc_id = y.doc_id AND abs(x.p - y.p) <= 20
+        WHERE a.r = 1 GROUP BY a.item_id, x.doc_id, x.p
+    ) WHERE k = m
+), near AS (
+    SELECT doc_id, count(*) AS n_near, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS near_items FROM close GROUP BY 1
 ), items AS (
     SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM hits) GROUP BY 1
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id = items.doc_id LEFT JOIN near ON d.doc_id = near.doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": _OP5, "op8_line_dedup": _OP8, "op10_decontam": _OP10}

@@ -40,11 +40,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a written table."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if it isn't there."""
+    fs, p = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def publish(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Writes a table aside and moves it to `path` by one rename, so that it's there whole or not at all."""
+    aside = f"{path.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(aside)
+    drop_path(spark, path)
+    fs, p = _file_system(spark, aside)
+    if not fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)):
+        raise OSError(f"can't move {aside} to {path}")
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:

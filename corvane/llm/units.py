@@ -10,28 +10,47 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import id_type, keyed
 
 UNIT_BYTES = 1 << 20
+#: Text whose lookups one shard holds: some 4 to 12 MB of hashes.
+SHARD_BYTES = 16 << 20
 
 
 def source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, _row and the `carry` columns of a stored table.
+    """doc_id, text, _row and the `carry` columns (as _carry0, ...) of a stored table.
 
     All scans for one operation select the same columns, so that Arrow batches and units come out the same.
     """
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in carry])
-    return keyed(own, "doc_id", "text", *carry)
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(x) for c, x in zip(carry, carry_names(carry))])
+    return keyed(own, "doc_id", "text", *carry_names(carry))
 
 
-def carried(docs: DataFrame, carry: tuple[str, ...]) -> str:
-    """The `carry` columns, as the end of a schema."""
+def carry_names(carry: tuple[str, ...]) -> list[str]:
+    return [f"_carry{k}" for k in range(len(carry))]
+
+
+def carry_of(batch: pa.RecordBatch, carry: tuple[str, ...]) -> list[pa.Array]:
+    return [batch.column(c) for c in carry_names(carry)]
+
+
+def carried(docs: DataFrame, carry: tuple[str, ...], names: list[str]) -> str:
+    """The `carry` columns, as the end of a schema; they must not be called like the operator's own."""
+    if len({*names, *carry}) < len(names) + len(carry):
+        raise ValueError(f"can't carry {', '.join(carry)} beside {', '.join(names)}")
     return "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
 
+def shards_of(rows: DataFrame) -> int:
+    """How many shards the lookups of `source` rows need, so that one holds those of about SHARD_BYTES of text, however large the table."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8, -(-size // SHARD_BYTES))
+
+
 def per_unit(rows: DataFrame, run, schema: str) -> DataFrame:
     """Rows of `run(unit, batch)` for each unit of `source` rows; a unit's number is its first row's."""
 
@@ -48,12 +67,13 @@ def per_unit(rows: DataFrame, run, schema: str) -> DataFrame:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """(unit, blob): each unit's rows as a compressed Arrow stream, which is cheap to shuffle."""
+    """(unit, size, blob): each unit's rows as a compressed Arrow stream, which is cheap to shuffle, and the bytes of their texts."""
 
     def run(unit, batch):
-        yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([freeze(batch)], pa.binary())], names=["unit", "blob"])
+        size = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([size], pa.int64()), pa.array([freeze(batch)], pa.binary())], names=["unit", "size", "blob"])
 
-    return per_unit(rows, run, "unit long, blob binary")
+    return per_unit(rows, run, "unit long, size long, blob binary")
 
 
 def freeze(batch: pa.RecordBatch) -> bytes:
