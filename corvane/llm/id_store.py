@@ -18,6 +18,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,19 +107,20 @@ def write_store(docs: DataFrame, path: str, encode: Callable, end_id: int = 0, i
     schema = found.schema
 
     def unique(batches):
-        seen: set[bytes] = set()
+        last = None
         for batch in batches:
-            kinds, hashes = batch.column("kind").to_pylist(), batch.column("hash").to_pylist()
-            keep = []
-            for kind, h in zip(kinds, hashes):
-                keep.append(kind == "recipe" or h not in seen)
-                if kind == "chunk":
-                    seen.add(h)
-            yield batch.filter(pa.array(keep))
-
-    # equal chunks meet in one partition, recipes spread by row
+            hashes = batch.column("hash")
+            chunk = pc.equal(batch.column("kind"), "chunk")
+            before = pa.concat_arrays([pa.array([last], hashes.type), hashes.slice(0, len(hashes) - 1)])
+            again = pc.fill_null(pc.and_(chunk, pc.equal(hashes, before)), False)
+            if len(hashes):
+                last = hashes[-1].as_py() if chunk[-1].as_py() else None
+            yield batch.filter(pc.invert(again))
+
+    # equal chunks meet in one partition and stand side by side, recipes are spread by row
     spread = found.repartition(parts(spark), F.when(F.col("kind") == "chunk", F.xxhash64("hash")).otherwise(F.xxhash64("row")))
-    spread.mapInArrow(unique, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/data")
+    ordered = spread.sortWithinPartitions("kind", F.when(F.col("kind") == "chunk", F.col("hash")))
+    ordered.mapInArrow(unique, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/data")
 
     recipes = spark.read.schema(schema).parquet(f"{path}/data").filter(F.col("kind") == "recipe").select("row", "doc_id", "n", "hash", "sizes")
     ordered = recipes.repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("row")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc("row"))
