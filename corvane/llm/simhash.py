@@ -226,16 +226,15 @@ def _shared_groups(rows: DataFrame) -> DataFrame:
     """(bucket, node) of buckets with two nodes or more; buckets with the same nodes become one."""
 
     def each(batches):
-        seen: set[int] = set()
         for (bucket, node), begins, sizes in _buckets(batches, ["bucket", "node"]):
             begins, sizes = begins[sizes > 1], sizes[sizes > 1]
             if not len(begins):
                 continue
             flat = ranges(begins, sizes)
             sums = np.add.reduceat(mix(node[flat].view(np.uint64) + np.uint64(12345)), np.cumsum(sizes) - sizes).view(np.int64)
-            new = np.array([not (x in seen or seen.add(x)) for x in sums.tolist()], bool)
+            sums, new = np.unique(sums, return_index=True)
             flat = ranges(begins[new], sizes[new])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sums[new], sizes[new])), pa.array(node[flat])], names=["bucket", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sums, sizes[new])), pa.array(node[flat])], names=["bucket", "node"])
 
     ordered = rows.repartition(parts(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
     return ordered.mapInArrow(each, "bucket long, node long").distinct()
