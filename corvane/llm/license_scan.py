@@ -1,10 +1,11 @@
 """License scans over a positional rare-token index.
 
-Templates of notices are indexed word by word: which template has the word, and where. A first pass
-counts the documents that hold each template word, over the whole corpus. A file is then looked up by
-its rarest licence words alone (highest inverse document frequency): each of their places proposes
-alignments with templates, and an alignment on which enough rare words of a template agree is
-verified: a mandatory phrase of the template must stand, word for word, where the alignment puts it.
+Templates of notices are indexed by their rarest words: which template has the word, and where. A first pass
+counts the documents that hold each template word, over the whole corpus. Of a template of n words as many
+of highest inverse document frequency are posted as can't all be missing from a notice that has the asked share of
+the n in place: (1 - share) * n of them, and one. A file is looked up by those of its words that are posted: each place
+proposes alignments with templates, by relative position, and each alignment is verified: a mandatory phrase of the
+template must stand, word for word, where the alignment puts it, and the share of the template's words must be in place.
 """
 
 from __future__ import annotations
@@ -68,8 +69,8 @@ def _codes(texts: list[str]) -> list[np.ndarray]:
     return np.split(w.hashes(), w.first[1:-1])
 
 
-def make_index(templates=TEMPLATES, base=None, frequency: dict[int, int] | None = None, n_docs: int = 1, rare_words: int = 4) -> Index:
-    """`frequency`: documents that hold each word (by its hash). A template's `rare_words` words of highest IDF are indexed."""
+def make_index(templates=TEMPLATES, base=None, frequency: dict[int, int] | None = None, n_docs: int = 1, share: float = 0.7) -> Index:
+    """`frequency`: documents, of `n_docs`, that hold each word (by its hash). A template's words of highest IDF are indexed."""
     base = BASE if base is None else base
     texts, phrases = _codes([t for _, t, _ in templates]), [_codes(p) for _, _, p in templates]
     base_codes = list(zip(base.values(), _codes(list(base)))) if base else []
@@ -86,7 +87,7 @@ def make_index(templates=TEMPLATES, base=None, frequency: dict[int, int] | None
                 raise ValueError("a mandatory phrase isn't part of its template")
             found.append((at[0], len(p)))
         places.append(found)
-        rare.append(np.sort(np.argsort(-idf[t], kind="stable")[:rare_words]))
+        rare.append(np.sort(np.argsort(-idf[t], kind="stable")[: len(t) - math.ceil(share * len(t) - 1e-9) + 1]))
     pairs = sorted((int(t[i]), k, int(i)) for k, (t, r) in enumerate(zip(coded, rare)) for i in r)
     post = np.array([(k, i) for _, k, i in pairs], np.int64).reshape(-1, 2)
     first = np.searchsorted([c for c, _, _ in pairs], np.arange(len(all_codes) + 1))
@@ -152,23 +153,21 @@ def scan(texts: pa.Array, index: Index, share: float) -> dict[str, list]:
     posts = index.post[ranges(index.post_first[code[hit]], each)]
     at = np.repeat(hit, each)
     if len(at):
-        votes, times = np.unique(np.stack((doc_of(at), posts[:, 0], at - posts[:, 1]), axis=1), axis=0, return_counts=True)
-        for (d, k, begin), v in zip(votes.tolist(), times.tolist()):
-            t = index.templates[k]
-            if v < math.ceil(len(index.rare[k]) / 2):
-                continue
-            lo, hi = w.first[d], w.first[d + 1]
-            place = begin + np.arange(len(t))
-            inside = (place >= lo) & (place < hi)
-            same = np.zeros(len(t), bool)
-            same[inside] = code[place[inside]] == t[inside]
-            if any(same[i : i + m].all() for i, m in index.phrases[k]) and same.mean() >= share:
-                labels[d].add(index.labels[k])
-                score[d] = max(score[d], float(same.mean()))
+        found = np.unique(np.stack((posts[:, 0], at - posts[:, 1], doc_of(at)), axis=1), axis=0)
+        for mine in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1):
+            t, k = index.templates[mine[0, 0]], mine[0, 0]
+            for some in np.array_split(mine, len(mine) // 65536 + 1):
+                place, lo, hi = some[:, 1:2] + np.arange(len(t)), w.first[some[:, 2]][:, None], w.first[some[:, 2] + 1][:, None]
+                same = (place >= lo) & (place < hi) & (padded[np.clip(place, 0, len(code))] == t)
+                share_of = same.mean(axis=1)
+                good = (share_of >= share - 1e-9) & np.any([same[:, i : i + m].all(axis=1) for i, m in index.phrases[k]], axis=0)
+                for d, x in zip(some[good, 2].tolist(), share_of[good].tolist()):
+                    labels[d].add(index.labels[k])
+                    score[d] = max(score[d], x)
     return {"n_words": w.counts.astype(np.int64), "n_base": n_base, "first_word": first, "last_word": last, "base_labels": [",".join(sorted(x)) for x in base_labels], "labels": [",".join(sorted(x)) for x in labels], "score": score}
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, base=None, rare_words: int = 4, share: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, templates=TEMPLATES, base=None, share: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence notices in each document.
 
     Returns doc_id, n_words, n_base (places of base phrases), first_word and last_word (least and
@@ -183,7 +182,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, base=None, rare_words: in
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     codes = template_words(templates, base)
     frequency = {r.word: r.n for r in word_frequency(rows.select("text"), codes).toLocalIterator()}  # a row for each template word
-    index = make_index(templates, base, frequency, max(1, max(frequency.values(), default=1)), rare_words)
+    index = make_index(templates, base, frequency, rows.count(), share)
 
     def run(batch):
         out = scan(batch.column("text"), index, share)
