@@ -3,9 +3,10 @@
 The standard library's parser streams a page's events into lines, one for each block of text. A line's
 ratio is its text per tag. Ratios are smoothed over neighbouring lines by a Gaussian, and lines at or
 over the threshold (a share of their spread) form clusters, the content regions. The region with most
-text names the container that holds it; what that container holds is the main text, in page order, less
-elements that are no content by their tag, role or class (menus, headers, footers, sidebars, notices,
-adverts, forms, comments).
+text names the container that holds it; it grows to the element around it as long as what that adds
+is mostly headings and content regions. What the container holds is the main text, in page order, less
+elements that are no content by their tag, role or name (menus, headers, footers, sidebars, notices,
+adverts, forms, comments). A form that wraps the page's text is no such form.
 """
 
 from __future__ import annotations
@@ -28,11 +29,19 @@ BLOCK = frozenset(
 )
 DROP = frozenset("nav header footer aside form script style noscript template iframe object svg math button select textarea input dialog head title menu audio video canvas map datalist".split())
 DROP_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
-#: Words of class or id names that mark what isn't content.
+#: Words of class or id names that mark what isn't content, if the rest of the name only says what kind of box it is.
 DROP_NAME = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs crumbs header masthead footer foot "
-    "sidebar aside side rail widget widgets related recommended recommendations share sharing social cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup "
-    "comment comments commentlist disqus discussion replies reply respond form login search pagination pager toolbar skip hidden copyright legal disclaimer".split()
+    "ad ads advert adverts advertisement advertisements advertising adbox adslot adsbygoogle banner banners sponsor sponsors sponsored promo promos promotion promotions nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "crumbs header masthead footer foot sidebar sidebars aside rail widget widgets related recommended recommendations share sharing social sociable cookie cookies consent gdpr notice notices popup popups modal overlay "
+    "newsletter subscribe subscription signup form login search searchbox searchform pagination pager toolbar skip hidden copyright disclaimer".split()
+)
+#: The same for what readers write; it goes even inside of articles, and articles inside of it.
+READERS = frozenset("comment comments commentlist commentlists commentform respond disqus reply replies".split())
+#: Words that say what kind of box it is.
+BOX = frozenset(
+    "container wrapper wrap box inner outer area block blocks section sections list lists item items row col column columns left right top bottom main primary secondary global site page web post posts "
+    "blog article articles entry entries story stories content contents body bar bars panel slot unit group links link button buttons icon icons text title thread threads reader readers user users news more latest popular "
+    "tags meta info message msg policy small large big full desktop mobile sticky fixed float to the and by us my id nr no".split()
 )
 NAME = re.compile(r"[a-z0-9]+")
 #: Names that tell what a layout has beside the element.
@@ -48,19 +57,20 @@ class Events(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, number, dropped
+        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, number, whether and why dropped
         self.made = 0
         self.whole: dict[int, str] = {}  # numbers of articles and mains
+        self.forms: dict[int, list] = {}  # of forms that may wrap the page: whether they hold an article or a heading, and their paragraphs
         self.held: list[tuple[int, list[str], int]] = []
         self.text: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, str]] = []
 
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            path = tuple(n for tag, n, _ in self.stack if tag in BLOCK or not n)
-            self.lines.append((text, self.tags, path, self.stack[-1][2]))
+            blocks = [x for x in self.stack if x[0] in BLOCK or not x[1]]
+            self.lines.append((text, self.tags, tuple(n for _, n, _ in blocks), self.stack[-1][2], blocks[-1][0]))
             self.tags = 0
         self.text = []
 
@@ -77,14 +87,22 @@ class Events(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        drop = self.stack[-1][2] or tag in DROP or bool(attrs) and dropped(tag, dict(attrs))
-        if tag in ("article", "main") and not any(d and t in DROP for t, _, d in self.stack):
-            drop = False  # what a name seemed to mark holds the article
+        around = self.stack[-1][2]
+        drop = around or (tag in DROP and tag != "form" and GONE) or bool(attrs) and dropped(tag, dict(attrs))
+        if tag in ("article", "main") and around == NAMED and drop == NAMED and not any(t == "article" for t, _, _ in self.stack):
+            drop = 0  # what a name seemed to mark holds the article
         if drop and not self.stack[-1][2]:
             self.cut_inline(tag)
         self.made += 1
         if tag in ("article", "main"):
             self.whole[self.made] = tag
+        if tag == "form":
+            self.forms[self.made] = [False, 0]
+        elif tag in ("article", "main", "h1", "p") and not drop:
+            for t, n, _ in self.stack:
+                if t == "form":
+                    self.forms[n][0] |= tag != "p"
+                    self.forms[n][1] += tag == "p"
         self.stack.append((tag, self.made, drop))
 
     def cut_inline(self, tag) -> None:
@@ -145,20 +163,32 @@ class Events(HTMLParser):
             self.text.append(data)
 
     def end(self):
+        """The lines, forms judged: one stays if it holds an article, or over half of the text in several paragraphs or under a heading."""
         self.close()
         self.cut()
+        total = sum(len(x[0]) for x in self.lines if not x[3])
+        for form, (headed, paragraphs) in self.forms.items():
+            inside = sum(len(x[0]) for x in self.lines if form in x[2] and not x[3])
+            if not ((headed or paragraphs > 2) and 2 * inside > total):
+                self.lines = [(*x[:3], x[3] or GONE if form in x[2] else x[3], x[4]) for x in self.lines]
         return self.lines
 
 
-def dropped(tag: str, attrs: dict) -> bool:
+#: Why an element is dropped: for a name, which an article in it outweighs, or for good.
+NAMED, GONE = 1, 2
+
+
+def dropped(tag: str, attrs: dict) -> int:
     if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-        return True
+        return GONE
     if (attrs.get("role") or "").lower() in DROP_ROLE:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    names = [x for name in ("class", "id") for x in (attrs.get(name) or "").lower().split() if not x.startswith(NOT_OWN)]
-    return any(x in DROP_NAME for name in names for x in NAME.findall(name))
+        return GONE
+    if tag in ("html", "body", "main"):
+        return 0
+    names = [set(NAME.findall(x)) for name in ("class", "id") for x in (attrs.get(name) or "").lower().replace("_", "-").split() if not x.startswith(NOT_OWN)]
+    if any(x & READERS and x <= READERS | BOX for x in names):
+        return GONE
+    return NAMED if tag != "article" and any(x & DROP_NAME and x <= DROP_NAME | BOX for x in names) else 0
 
 
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -181,22 +211,39 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5) -> s
     if not lines:
         return ""
     size = np.array([len(t) for t, *_ in lines], float)
-    ratio = size / np.maximum(1, [n for _, n, *_ in lines])
-    level = smooth(ratio * [not d for *_, d in lines], sigma)
-    over = (level >= threshold * level.std()) & [not d for *_, d in lines]
+    ratio = size / np.maximum(1, [x[1] for x in lines])
+    dropped_ = np.array([bool(x[3]) for x in lines])
+    level = smooth(ratio * ~dropped_, sigma)
+    over = (level >= threshold * level.std()) & ~dropped_
     if not over.any():
         return ""
     # content regions are runs of lines over the threshold; the largest names its container
     edges = np.flatnonzero(np.diff(np.concatenate(([0], over, [0]))))
     runs = [(size[a:b].sum(), a, b) for a, b in zip(edges[::2], edges[1::2])]
     _, a, b = max(runs, key=lambda r: (r[0], -r[1]))
-    container = _container([lines[i][2] for i in range(a, b)], size[a:b])
-    for tag in ("article", "main"):  # a part of an article stands for all of it
-        outer = [i for i, n in enumerate(container) if parser.whole.get(n) == tag]
-        if outer:
-            container = container[: outer[0] + 1]
+    paths = [x[2] for x in lines]
+    container = _container(paths[a:b], size[a:b])
+    outer = [i for tag in ("article", "main") for i, n in enumerate(container) if parser.whole.get(n) == tag]
+    if outer:  # a part of an article stands for all of it
+        container = container[: outer[0] + 1]
+    else:
+        heading = np.array([x[4] in HEADINGS for x in lines])
+        container = _grown(container, paths, size * ~dropped_, over & (ratio >= threshold * ratio[over].mean()) | heading)
+    return "\n\n".join(t for t, _, path, drop, _ in lines if not drop and path[: len(container)] == container)
+
+
+HEADINGS = frozenset(("h1", "h2", "h3"))
+
+
+def _grown(container: tuple[int, ...], paths: list[tuple[int, ...]], size: np.ndarray, content: np.ndarray) -> tuple[int, ...]:
+    """The container, or an element around it: as long as most text that the next one adds is content."""
+    while len(container) > 1:
+        outer = container[:-1]
+        added = np.array([p[: len(outer)] == outer and p[: len(container)] != container for p in paths])
+        if size[added & content].sum() < 0.7 * size[added].sum():
             break
-    return "\n\n".join(t for t, _, path, drop in lines if not drop and path[: len(container)] == container)
+        container = outer
+    return container
 
 
 def _container(paths: list[tuple[int, ...]], size: np.ndarray) -> tuple[int, ...]:
