@@ -186,6 +186,25 @@ def test_license_labels_short_reserved_notice():
     assert out["labels"] == ["cc-by-nc", "proprietary", "mit", "gpl"]
 
 
+def test_license_labels_with_any_words_altered():
+    """A notice with a mandatory phrase and the share of the words in place is found, whichever words are altered."""
+    label, notice, phrases = next(t for t in license_scan.TEMPLATES if t[0] == "isc")
+    words, rng = notice.split(), random.Random(1)
+    at = next(i for i in range(len(words)) if words[i : i + len(phrases[0].split())] == phrases[0].split())
+    free = [i for i in range(len(words)) if not at <= i < at + len(phrases[0].split())]
+    most = len(words) - int(np.ceil(0.7 * len(words) - 1e-9))
+    texts, expected = [], []
+    for n in range(len(free) + 1):
+        for _ in range(20):
+            w = list(words)
+            for i in rng.sample(free, n):
+                w[i] = f"other{i}"
+            texts.append(f"before {' '.join(w)} after")
+            expected.append(label if n <= most else "")
+    got = license_scan.scan(pa.array(texts), license_scan.make_index(share=0.7), 0.7)
+    assert got["labels"] == expected
+
+
 def brute_substrings(docs, width):
     """docs in order; (n_words, n_removed, kept) of each."""
     seen, out = set(), []
@@ -222,22 +241,51 @@ def test_substring_dedup_widths(spark, tmp_path, width):
     assert [got[i] for i, _ in docs] == brute_substrings([t for _, t in docs], width)
 
 
-def test_fingerprint_index_adds_batches(spark, tmp_path):
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_substring_dedup_in_batches(table, batches):
+    docs = rows_of(table)
+    order = sorted(range(len(docs)), key=lambda k: (docs[k][0] is not None, docs[k][0] or 0, k))
+    found = brute_substrings([docs[k][1] for k in order], 20)
+    got = substring_dedup.substring_dedup(table, batches=batches).collect()
+    assert multiset((r.doc_id, r.n_words, r.n_removed, r.kept.encode()) for r in got) == multiset((docs[k][0], *x) for k, x in zip(order, found))
+
+
+def test_substring_dedup_wants_integer_ids(spark):
+    with pytest.raises(ValueError, match="integer"):
+        substring_dedup.substring_dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_fingerprint_index(spark, tmp_path, monkeypatch):
+    """Batches, some empty, repeated or with nulls, on an index that is opened anew each time, compacted in between and after interruptions."""
     rng = random.Random(9)
     prose = lambda n: " ".join(str(rng.randrange(500)) for _ in range(n))
     passage = prose(50)
     batches = [[(10 * b + i, prose(30) + " " + (passage if i % 2 else prose(40))) for i in range(5)] for b in range(3)]
-    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), 20, 4)
+    batches += [[], batches[1], [(3, None), (4, ""), (5, passage)]]
     expected = brute_substrings([t for b in batches for _, t in b], 20)
-    got = []
+    got, home = [], str(tmp_path / "index")
     for k, b in enumerate(batches):
         path = str(tmp_path / f"b{k}.parquet")
         spark.createDataFrame(b, "doc_id long, text string").write.parquet(path)
+        index = substring_dedup.FingerprintIndex(spark, home, 20)
+        if k == 1:  # what an interrupted add leaves behind
+            spark.range(3).write.parquet(f"{home}/units/1")
+        if k == 4:
+            monkeypatch.setattr(substring_dedup.U, "SHARD_BYTES", 100)  # more shards than the runs have
         found = {r.doc_id: (r.n_words, r.n_removed, r.kept.encode()) for r in index.add(spark.read.parquet(path)).collect()}
         got += [found[i] for i, _ in b]
-        if k == 1:
-            index.compact()
+        if k == 2:
+            with monkeypatch.context() as m:  # stopped before the old runs are deleted
+                m.setattr(substring_dedup, "drop_path", lambda *a: None)
+                index.compact()
+            assert len(substring_dedup.FingerprintIndex(spark, home, 20).runs()) == 1
     assert got == expected
+    index.compact()
+    (run,) = index.runs()
+    assert run[:2] == (0, 5)
+    for row in index._read(run, run[3]).collect():
+        anchors = np.frombuffer(row.anchors, np.uint64)
+        assert (anchors[1:] >= anchors[:-1]).all() and (anchors % np.uint64(run[3]) == row.shard).all()
 
 
 PAGE = """<html><head><title>T</title><style>p{x}</style><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href=1>Menu</a></ul></nav>
@@ -263,6 +311,30 @@ def test_html_names_of_layouts():
         assert html_text.main_text(f'<body>{before}<p>{text}</p><div class="post-comments"><p>me too</p></div>{after}<aside>more</aside></body>') == text
 
 
+LONG = "A paragraph that is long enough to be the text of a page, with some more words in it."
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ('<article><h1>T</h1><p>{}</p><article class="comment"><p>me too, I like it very much</p></article></article>', ["T", LONG]),
+        ('<article><p>{}</p><section class="comments"><article><p>me too, I like it very much</p></article></section></article>', [LONG]),
+        ('<main><p>{}</p><div id="comments"><article><p>me too, I like it very much</p></article></div></main>', [LONG]),
+        ('<article><p>{}</p><ol class="comment-list"><li><article><p>me too</p></article></li></ol><div class="post-comments-area">x</div></article>', [LONG]),
+        ('<form action="/x"><nav>menu</nav><h1>T</h1><p>{}</p><input name="q"></form>', ["T", LONG]),
+        ('<form action="/x"><div><p>{0}</p><p>{0}</p><p>{0}</p></div></form>', [LONG] * 3),
+        ('<article><p>{}</p><form><p>Your name</p><input></form></article>', [LONG]),
+        ('<article><p>{0}</p><div class="discussion"><p>{0}</p></div><div class="legal-note"><p>{0}</p></div><section class="related-work"><p>{0}</p></section></article>', [LONG] * 4),
+        ('<article><p>{}</p><div class="related-posts"><a href="/a">Other</a></div><div class="share-buttons">Share</div><div id="cookie-banner">We use cookies</div></article>', [LONG]),
+        ('<h1>Title</h1><div class="content"><p>{0}</p><p>{0}</p></div>', ["Title", LONG, LONG]),
+        ('<div id="nav"><a href="/">Home</a> <a href="/b">News</a></div><div class="post"><section><h2>One</h2><p>{0}</p><p>{0}</p><p>{0}</p></section><section><h2>Two</h2><p>{0}</p></section></div><div><a href="/1">a</a> <a href="/2">b</a></div>', ["One", LONG, LONG, LONG, "Two", LONG]),
+        ('<div id="page-wrapper"><div class="sidebar"><p>{0}</p></div><div class="col-main"><p>{0}</p><p>{0}</p></div></div>', [LONG, LONG]),
+    ],
+)
+def test_html_layouts(page, expected):
+    assert html_text.main_text(f"<html><body>{page.format(LONG)}<footer>end</footer></body></html>") == "\n\n".join(expected)
+
+
 def test_html_article_regions(spark, sf):
     """Synthetic pages: the text of the article, block by block."""
     import html
@@ -292,11 +364,64 @@ def test_quality(table, empty):
 def test_quality_model_is_a_distribution():
     raw, at = arrays.flat(pa.array(["abracadabra arcane banana", "cabana nada", ""]))
     keys, counts = quality._counted(quality.ngram_keys(raw, at), raw)
-    m = quality.fit(keys, counts)
-    p = np.exp(quality.Scorer(m).log.astype(float)).reshape([quality.Scorer(m).size] * 3)
-    unseen = 256 - (p.shape[2] - 1)
-    sums = p[:, :, :-1].sum(2) + unseen * p[:, :, -1]
-    assert np.allclose(sums, 1, atol=1e-4)
+    scorer = quality.Scorer(quality.fit(keys, counts))
+    for before in (b"ab", b"na", b"zz", b"a\0", b"\0\0", b"qa"):
+        key = np.arange(256) + (before[0] << 16) + (before[1] << 8)
+        assert abs(scorer.of(key).sum() - 1) < 1e-9
+
+
+def brute_scores(docs):
+    """Mean negative log-probability a byte by a modified Kneser-Ney model of order 3 for each language, from its definition."""
+    counts = {}
+    grams = lambda t: [tuple([0, 0, *t][i : i + 3]) for i in range(len(t))]
+    for t, lang in docs:
+        counts.setdefault(lang, collections.Counter()).update(grams((t or "").translate(LOW).encode()))
+
+    def discounts(c):
+        n = [sum(1 for v in c.values() if v == k) for k in range(5)]
+        if not n[1] or not n[2]:
+            return [0, 0.5, 0.5, 0.5]
+        y = n[1] / (n[1] + 2 * n[2])
+        last = 3 - 4 * y * n[4] / n[3] if n[3] else 2 - 3 * y * n[3] / n[2]
+        return [0, *(min(max(d, 0.05), top) for d, top in ((1 - 2 * y * n[2] / n[1], 0.95), (2 - 3 * y * n[3] / n[2], 1.95), (last, 2.95)))]
+
+    def model(three):
+        levels = [three]
+        for _ in range(2):  # continuation counts
+            levels.insert(0, collections.Counter(g[1:] for g in levels[0]))
+        d = [discounts(c) for c in levels]
+
+        def p(gram):
+            if not gram:
+                return 1 / 256
+            c, mine = levels[len(gram) - 1], d[len(gram) - 1]
+            followers = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+            if not followers:
+                return p(gram[1:])
+            total = sum(followers.values())
+            n = followers.get(gram, 0)
+            return (n - mine[min(n, 3)]) / total + sum(mine[min(x, 3)] for x in followers.values()) / total * p(gram[1:])
+
+        return p
+
+    models, out = {lang: model(c) for lang, c in counts.items()}, []
+    for t, lang in docs:
+        g = grams((t or "").translate(LOW).encode())
+        out.append(-sum(np.log(models[lang](x)) for x in g) / len(g) if g else None)
+    return out
+
+
+def test_quality_scores(spark, tmp_path, monkeypatch):
+    rng = random.Random(21)
+    rows = [(i, " ".join("".join(rng.choice("aAbcé") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(12))), "xy"[i % 2]) for i in range(20)] + [(50, None, "x"), (51, "Ω", "z")]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(path)
+    expected = brute_scores([(t, x) for _, t, x in rows])
+    for limit in (quality.BROADCAST, 1):
+        monkeypatch.setattr(quality, "BROADCAST", limit)
+        got = {r.doc_id: r.score for r in quality.quality(spark.read.parquet(path)).collect()}
+        for (i, _, _), e in zip(rows, expected):
+            assert got[i] is None if e is None else abs(got[i] - e) < 1e-5
 
 
 def test_quality_rejects_noise_and_splits_languages(spark, tmp_path, monkeypatch):
@@ -355,6 +480,26 @@ def test_perfect_hash():
     assert line_dedup.PerfectHash(np.empty(0, np.uint64)).slots(keys[:3]).tolist() == [-1, -1, -1]
 
 
+def test_line_index_with_keys_that_no_slot_parts():
+    """Keys whose 64-bit mixes are equal end up in the index's rest."""
+    with_twins = np.array([5, 7, 5, 9, 7], np.uint64)
+    h = line_dedup.PerfectHash(with_twins)
+    assert sorted(set(h.left.tolist())) == [5, 7] and h.slots(np.array([9], np.uint64)).tolist() == [0]
+
+
+def test_line_dedup_without_slots(table, monkeypatch):
+    expected = multiset((r.doc_id, r.n_dropped, r.kept_sha256) for r in line_dedup.line_dedup(table, 2, with_text=False).collect())
+    monkeypatch.setattr(line_dedup.PerfectHash, "LEVELS", 1)  # all keys that meet another one at once
+    assert multiset((r.doc_id, r.n_dropped, r.kept_sha256) for r in line_dedup.line_dedup(table, 2, with_text=False).collect()) == expected
+
+
+def test_carried_columns_with_clashing_names(table, items):
+    for out in (line_dedup.line_dedup(table, with_text=False, carry=("_row", "lang")), decontam.decontaminate(table, items, with_text=False, carry=("_row", "lang"))):
+        assert {r._row for r in out.collect()} == {1} and out.columns[-2:] == ["_row", "lang"]
+    with pytest.raises(ValueError, match="kept"):
+        line_dedup.line_dedup(table, carry=("kept",))
+
+
 def brute_fingerprint(t, size=3):
     w = (t or "").translate(LOW).encode().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + size]), 42) for k in range(max(1, len(w) - size + 1))] if w else []
@@ -514,6 +659,22 @@ def brute_decontam(docs, items, window=13):
     return out
 
 
+def brute_near(docs, items, rare_terms=4, span=20):
+    cut = lambda t: re.findall(ALNUM, (t or "").translate(LOW))
+    texts = [cut(t) for _, t in docs]
+    counts = collections.Counter(x for w in texts for x in w)
+    out = []
+    for (i, _), w in zip(docs, texts):
+        found = set()
+        for item, t in items:
+            rare = sorted(set(cut(t)), key=lambda x: (counts[x], x.encode()))[:rare_terms]
+            near = lambda p: all(x in w[max(p - span, 0) : p + span + 1] for x in rare)
+            if item is not None and rare and any(x == rare[0] and near(p) for p, x in enumerate(w)):
+                found.add(str(item))
+        out.append((i, len(w), len(found), ",".join(sorted(found))))
+    return out
+
+
 @pytest.fixture(scope="module")
 def items(spark):
     some = [t for _, t in sorted(((i or 0), t) for i, t in texts() if t and 14 < len(t.split()) < 1000)]
@@ -531,7 +692,11 @@ def test_decontaminate(table, empty, items, monkeypatch):
     assert multiset((r.doc_id, r.kept) for r in clean) == multiset((i, t) for (i, t), e in zip(docs, brute_decontam(docs, [tuple(r) for r in items.collect()])) if not e[2])
     for r in got:
         assert len(re.findall(ALNUM, (r.kept or "").translate(LOW))) == r.n_words - r.n_hit
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 300)  # several searches
+    assert multiset((r.doc_id, r.n_words, r.n_near, r.near_items) for r in got) == multiset(brute_near(docs, [tuple(r) for r in items.collect()]))
+    assert sum(r.n_near > 0 for r in got) > 5
+    monkeypatch.setattr(decontam, "CHUNK", 2)
+    assert multiset(tuple(r[:6]) for r in decontam.decontaminate(table, items).collect()) == expected
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 150)  # several searches
     assert multiset(tuple(r[:6]) for r in decontam.decontaminate(table, items, with_text=False).collect()) == expected
     assert decontam.decontaminate(empty, items).count() == 0
     assert not any(r.contaminated for r in decontam.decontaminate(table, items.filter("false")).collect())

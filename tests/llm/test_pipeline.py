@@ -74,3 +74,17 @@ def test_repeated_and_null_rows(spark, sf, tmp_path):
     assert P.near_dedup(spark, docs, sf).filter("text LIKE 'word0%'").count() in (1, 2)
     assert P.decontaminate(spark, docs, sf).count() == 5
     assert P.pack(spark, docs, sf).count() >= 1
+
+
+def test_empty_and_clashing_tables(spark, sf, tmp_path):
+    """Stages take empty tables and further columns with the names that operators use."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row int, kept string, unit int, component_id int"
+    rows = [(k, " ".join(f"word{i} of {k}" for i in range(60)), "en", "s", 1, 7, "k", 0, 3) for k in range(4)]
+    for some in ([], rows):
+        path = str(tmp_path / f"d{len(some)}")
+        spark.createDataFrame(some, schema).write.parquet(path)
+        docs = spark.read.parquet(path)
+        for name, stage in P.STAGES:
+            out = stage(spark, docs, sf)
+            assert (out.count() > 0) == bool(some), name
+            assert name == P.STAGES[-1][0] or out.columns == P.COLUMNS
