@@ -62,6 +62,24 @@ def from_string(x) -> Column:
     return F.when(x.isNotNull(), F.struct(F.transform(part(1), lambda e: F.trim(e).cast("long")).alias("n"), values.alias("v")))
 
 
+def send(s) -> Column:
+    """Binary form: the text form's bytes."""
+    return F.encode(to_string(s), "UTF-8")
+
+
+def recv(x) -> Column:
+    return from_string(F.decode(col(x), "UTF-8"))
+
+
+def dmin(a, b) -> Column:
+    """The lesser of two numbers; a null gives way to a number."""
+    return F.least(col(a), col(b))
+
+
+def dmax(a, b) -> Column:
+    return F.greatest(col(a), col(b))
+
+
 def dimension(s) -> Column:
     return F.aggregate(col(s)["n"], F.lit(0).cast("long"), lambda a, e: a + e)
 

@@ -71,15 +71,26 @@ def _exact_distinct(df: DataFrame, made: DataFrame, columns: list[str], keys: li
     return made
 
 
-def frequent_values(df: DataFrame, columns: list[str], n: int, groups: list[str] = ()) -> DataFrame:
-    """(group values, target_column, most_frequent_values, mfv_frequencies): the n most frequent values of each column, of equal ones the smaller."""
-    pieces = F.explode(F.array(*[F.struct(F.lit(c).alias("target_column"), F.col(quoted(c)).cast("string").alias("value")) for c in columns])).alias("s")
+def frequent_values(df: DataFrame, columns: list[str], n: int, groups: list[str] = (), estimates: bool = False) -> DataFrame:
+    """(group values, target_column, most_frequent_values, mfv_frequencies): the n most frequent values of each column, of equal ones the smaller.
+
+    Columns are counted one by one; with `estimates` sketches of bounded size take the place of counts, in one pass.
+    """
     keys = [F.col(quoted(g)).cast("string") for g in groups]
     group = (F.concat_ws(",", *keys) if groups else F.lit(None).cast("string")).alias("group_by_value")
-    counts = df.select(group, pieces).select("group_by_value", "s.*").filter("value IS NOT NULL").groupBy("group_by_value", "target_column", "value").count()
-    rank = F.row_number().over(Window.partitionBy("group_by_value", "target_column").orderBy(F.desc("count"), "value"))
-    top = counts.withColumn("k", rank).filter(F.col("k") <= n)
-    lists = top.groupBy("group_by_value", "target_column").agg(F.array_sort(F.collect_list(F.struct("k", "value", "count"))).alias("l"))
+    if estimates:
+        tops = [F.expr(f"approx_top_k(CAST({quoted(c)} AS STRING), {n + 1})").alias(f"t{i}") for i, c in enumerate(columns)]
+        found = df.groupBy(group).agg(*tops)
+        cells = [F.struct(F.lit(c).alias("target_column"), F.transform(F.filter(F.col(f"t{i}"), lambda e: e["item"].isNotNull()), lambda e: F.struct((-e["count"]).alias("k"), e["item"].alias("value"), e["count"].alias("count"))).alias("l")) for i, c in enumerate(columns)]
+        lists = found.select("group_by_value", F.explode(F.array(*cells)).alias("s")).select("group_by_value", "s.target_column", F.slice(F.array_sort("s.l"), 1, n).alias("l")).filter(F.size("l") > 0)
+    else:
+        counts = None
+        for c in columns:
+            part = df.select(group, F.col(quoted(c)).cast("string").alias("value")).filter("value IS NOT NULL").groupBy("group_by_value", "value").count().withColumn("target_column", F.lit(c))
+            counts = part if counts is None else counts.unionByName(part)
+        rank = F.row_number().over(Window.partitionBy("group_by_value", "target_column").orderBy(F.desc("count"), "value"))
+        top = counts.withColumn("r", rank).filter(F.col("r") <= n)  # Spark cuts each task's groups to n before they are shuffled
+        lists = top.groupBy("group_by_value", "target_column").agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("k"), "value", "count"))).alias("l"))
     return lists.select("group_by_value", "target_column", F.col("l.value").alias("most_frequent_values"), F.col("l.count").alias("mfv_frequencies"))
 
 
@@ -96,7 +107,7 @@ def summary(df: DataFrame, target_cols=None, grouping_cols=None, get_distinct: b
         wanted = [c for c in columns if c not in group]
         part = _stats(df, wanted, group, get_distinct, get_quartiles, list(ntile_array or []), get_estimates)
         if how_many_mfv:
-            mfv = frequent_values(df, wanted, how_many_mfv, group)
+            mfv = frequent_values(df, wanted, how_many_mfv, group, get_estimates)
             part = part.join(mfv, [part["group_by_value"].eqNullSafe(mfv["group_by_value"]), part["target_column"] == mfv["target_column"]], "left").drop(mfv["group_by_value"]).drop(mfv["target_column"])
         out = part if out is None else out.unionByName(part)
     return out

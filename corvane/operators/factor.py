@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators import matrix as M
 from corvane.operators.checks import options, quoted
-from corvane.operators.estimate import group_sums, packed, unpacked
+from corvane.operators.estimate import group_sums, packed, to_numpy, unpacked
 
 #: Columns up to which the Gram matrix is decomposed on the driver.
-GRAM_COLUMNS = 4000
+GRAM_COLUMNS = 5000
 
 
 def _rows(m: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def svd(m: DataFrame, k: int) -> dict[str, DataFrame]:
     v *= np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1, 1)
     spark = m.sparkSession
     scaled = v / np.where(s > 1e-12 * max(s.max(initial=0), 1e-300), s, np.inf)
-    u = dense.select("row_id", _times(scaled).alias("row_vec"))
+    u = _times(dense, scaled)
     sv = spark.createDataFrame([(i + 1, i + 1, float(x)) for i, x in enumerate(s)], "row_id long, col_id long, val double")
     rows, cols = M.ndims(dense)
     err = float(np.sqrt(max(np.trace(gram) - (s * s).sum(), 0)))
@@ -55,13 +56,20 @@ def svd(m: DataFrame, k: int) -> dict[str, DataFrame]:
     return {"u": u, "s": sv, "v": M.table(spark, v), "summary": summary}
 
 
-def _times(a: np.ndarray, column: str = "row_vec", mean: np.ndarray | None = None):
-    """Column: a row vector (less a mean) times a matrix."""
-    columns = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in a.T])
-    x = F.col(column)
-    if mean is not None:
-        x = F.zip_with(x, F.array(*[F.lit(float(v)) for v in mean]), lambda p, q: p - q)
-    return F.transform(columns, lambda c: F.aggregate(F.zip_with(x, c, lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e))
+def _times(rows: DataFrame, a: np.ndarray, mean: np.ndarray | None = None) -> DataFrame:
+    """(row_id, row_vec): row vectors (less a mean) times a matrix, which is broadcast: it has at most GRAM_COLUMNS squared elements."""
+    shared = rows.sparkSession.sparkContext.broadcast((a, np.zeros(len(a)) if mean is None else mean))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, mean = shared.value
+                x = (to_numpy(batch.column("row_vec")) - mean) @ a
+                vectors = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1]).astype(np.int32), x.ravel())
+                yield pa.RecordBatch.from_arrays([batch.column("row_id"), vectors], names=["row_id", "row_vec"])
+
+    kind = rows.schema["row_id"].dataType.simpleString()
+    return rows.select("row_id", F.col("row_vec").cast("array<double>").alias("row_vec")).mapInArrow(run, f"row_id {kind}, row_vec array<double>")
 
 
 def pca_train(m: DataFrame, k: int | None = None, variance: float | None = None) -> dict[str, DataFrame]:
@@ -92,8 +100,8 @@ def pca_project(m: DataFrame, model: dict[str, DataFrame]) -> dict[str, DataFram
     v = np.array([r.principal_components for r in model["components"].orderBy("row_id").toLocalIterator()]).T
     mean = np.array(model["mean"].first()[0])
     rows = _rows(m).select("row_id", F.col("row_vec").cast("array<double>").alias("row_vec"))
-    projected = rows.select("row_id", _times(v, mean=mean).alias("row_vec"))
-    residual = rows.select("row_id", _times(np.eye(len(mean)) - v @ v.T, mean=mean).alias("row_vec"))
+    projected = _times(rows, v, mean)
+    residual = _times(rows, np.eye(len(mean)) - v @ v.T, mean)
     squared = F.aggregate("row_vec", F.lit(0.0), lambda s, e: s + e * e)
     whole = rows.agg(F.sqrt(F.sum(squared)).alias("whole"))
     summary = residual.agg(F.sqrt(F.sum(squared)).alias("residual_norm")).crossJoin(F.broadcast(whole))  # one row each

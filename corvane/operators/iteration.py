@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from corvane.sources.tables import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows, checkpointed in the folder that all executors share: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.conf.get("corvane.checkpoint.set", None):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="corvane-checkpoint-")
-        atexit.register(shutil.rmtree, path, True)
-        spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("corvane.checkpoint.set", path)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Elements of a matrix that a decomposition gathers at most.
 LIMIT = 25_000_000
+#: Elements of products that a task adds up before it passes them on.
+HELD = 1 << 21
 SPARSE = ["row_id", "col_id", "val"]
 
 
@@ -278,19 +280,34 @@ def block_trans(m: DataFrame) -> DataFrame:
 
 
 def block_mult(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Product of block matrices: blocks meet on the inner index and are multiplied by numpy, then summed by place."""
+    """Product of block matrices: blocks meet on the inner index and are multiplied by numpy.
+
+    A task adds up products of the same place as it goes (HELD of them at a time); the rest is summed element by element.
+    """
     import pandas as pd
 
     pairs = a.select("row_id", F.col("col_id").alias("k"), F.col("block").alias("x")).join(b.select(F.col("row_id").alias("k"), "col_id", F.col("block").alias("y")), "k")
 
     def multiply(batches):
+        held: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            out = [[list(map(float, r)) for r in np.vstack(x).astype(float) @ np.vstack(y).astype(float)] for x, y in zip(pdf.x, pdf.y)]
-            yield pd.DataFrame({"row_id": pdf.row_id, "col_id": pdf.col_id, "block": out})
-
-    made = pairs.mapInPandas(multiply, "row_id long, col_id long, block array<array<double>>")
-    add_up = F.expr("aggregate(slice(l, 2, size(l)), l[0], (s, e) -> zip_with(s, e, (p, q) -> zip_with(p, q, (u, v) -> u + v)))")
-    return made.groupBy("row_id", "col_id").agg(F.collect_list("block").alias("l")).select("row_id", "col_id", add_up.alias("block"))
+            for r, c, x, y in zip(pdf.row_id, pdf.col_id, pdf.x, pdf.y):
+                made = np.vstack(x).astype(float) @ np.vstack(y).astype(float)
+                held[r, c] = held[r, c] + made if (r, c) in held else made
+                if sum(v.size for v in held.values()) > HELD:
+                    yield from _cells(held)
+                    held = {}
+        yield from _cells(held)
+
+    def _cells(held):
+        for (r, c), v in held.items():
+            i, j = np.indices(v.shape)
+            yield pd.DataFrame({"row_id": r, "col_id": c, "i": i.ravel(), "j": j.ravel(), "v": v.ravel()})
+
+    cells = pairs.mapInPandas(multiply, "row_id long, col_id long, i int, j int, v double").groupBy("row_id", "col_id", "i", "j").agg(F.sum("v").alias("v"))
+    rows = cells.groupBy("row_id", "col_id", "i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("r"))
+    whole = rows.groupBy("row_id", "col_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("r.v").alias("v")))).alias("b"))  # one block
+    return whole.select("row_id", "col_id", F.col("b.v").alias("block"))
 
 
 def block_square(m: DataFrame) -> DataFrame:

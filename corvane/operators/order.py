@@ -5,24 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Ranges at least, and rows of a range.
+BUCKETS, ROWS = 64, 1 << 20
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], groups: list[str] = (), buckets: int = BUCKETS) -> DataFrame:
+def split_points(df: DataFrame, order: Column, rows: int = ROWS) -> list[float]:
+    """Values that cut the rows into ranges of at most about `rows`; equal values stay together."""
+    n = max(BUCKETS, -(-df.count() // rows))
+    return sorted(set(df.select(order.cast("double").alias("o")).approxQuantile("o", [i / n for i in range(1, n)], 1 / (4 * n))))
+
+
+def running(df: DataFrame, order: str, sums: dict[str, Column], groups: list[str] = ()) -> DataFrame:
     """The table with running sums over increasing `order` (peers share theirs), named as in `sums`.
 
     Without groups, split points from a quantile sketch cut the order into ranges; each range sums
-    by itself, and gets the totals of the ranges before it from a table of `buckets` rows.
+    by itself, and gets the totals of the ranges before it from a table of a row for each range.
     """
     groups = list(groups)
     if groups:
         w = Window.partitionBy(*groups).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in sums.items()])
-    splits = sorted(set(df.select(F.col(order).cast("double").alias("o")).approxQuantile("o", [i / buckets for i in range(1, buckets)], 0.005)))
+    splits = split_points(df, F.col(order))
     bucket = F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s <= F.col(order))) if splits else F.lit(0)
     cut = df.withColumn("_bucket", bucket)
     totals = cut.groupBy("_bucket").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     offsets = totals.select("_bucket", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in sums])
     w = Window.partitionBy("_bucket").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     own = cut.select("*", *[F.sum(e).over(w).alias(n) for n, e in sums.items()])

@@ -50,7 +50,11 @@ def path(df: DataFrame, partition, order: str, pattern: str, symbols: dict[str,
     hit = line.filter(F.col("_line").rlike(f"(?i){coded}")).withColumn("_from", F.length(head) + 1)
     rest = F.expr("substring(_line, _from)")
     match = hit.withColumn("_len", F.length(F.regexp_extract(rest, f"(?i)^(?:{coded})", 0))).drop("_line")
-    matched = rows.join(match, groups).filter((F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_from") + F.col("_len")))
+    match = match.select(*[F.col(quoted(g)).alias(f"_g{i}") for i, g in enumerate(groups)], "_from", "_len")
+    same = F.lit(True)
+    for i, g in enumerate(groups):  # a null key is a partition of its own
+        same = same & F.col(quoted(g)).eqNullSafe(F.col(f"_g{i}"))
+    matched = rows.join(match, same).filter((F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_from") + F.col("_len")))
     names_of = {letter: name for name, letter in zip(symbols, _SYMBOLS)}
     named = F.coalesce(*[F.when(F.col("_symbol") == k, F.lit(v)) for k, v in names_of.items()])
     tuples = matched.select(*[F.col(quoted(c)) for c in df.columns], named.alias("symbol"), (F.col("_place") - F.col("_from") + 1).alias("match_place"))
@@ -96,12 +100,20 @@ def assoc_rules(df: DataFrame, tid: str, item: str, support: float, confidence:
 # naive Bayes: attributes are an array; numeric ones (places from 1) follow a normal law
 
 
+def _whole(attributes: str):
+    """Attributes are there, none of them null."""
+    return F.col(quoted(attributes)).isNotNull() & ~F.exists(quoted(attributes), lambda e: e.isNull())
+
+
 def nb_train(df: DataFrame, cls: str, attributes: str, numeric: list[int] = (), smoothing: float = 1.0) -> dict[str, DataFrame]:
-    """{priors, feature_probs, numeric_stats}: class counts; counts of each class and attribute value, with the number of values; means and variances."""
-    rows = df.select(F.col(quoted(cls)).alias("class"), F.posexplode(quoted(attributes)).alias("p", "value")).select("class", (F.col("p") + 1).alias("attr"), "value").filter("class IS NOT NULL")
-    total = df.filter(F.col(quoted(cls)).isNotNull())
-    priors = total.groupBy(F.col(quoted(cls)).alias("class")).agg(F.count("*").alias("class_cnt"))
-    all_rows = total.agg(F.count("*").alias("all_cnt"))
+    """{priors, feature_probs, numeric_stats}: class counts; counts of each class and attribute value, with the number of values; means and variances.
+
+    Rows with a null class, null attributes or a null among them are left out.
+    """
+    whole = df.filter(F.col(quoted(cls)).isNotNull() & _whole(attributes)).select(F.col(quoted(cls)).alias("class"), F.col(quoted(attributes)).alias("values"))
+    rows = whole.select("class", F.posexplode("values").alias("p", "value")).select("class", (F.col("p") + 1).alias("attr"), "value")
+    priors = whole.groupBy("class").agg(F.count("*").alias("class_cnt"))
+    all_rows = whole.agg(F.count("*").alias("all_cnt"))
     priors = priors.crossJoin(F.broadcast(all_rows))  # one row
     nominal = rows.filter(~F.col("attr").isin(list(numeric))) if numeric else rows
     counts = nominal.groupBy("class", "attr", "value").agg(F.count("*").alias("cnt"))
@@ -115,22 +127,33 @@ def nb_train(df: DataFrame, cls: str, attributes: str, numeric: list[int] = (),
     return {"priors": priors, "feature_probs": probs, "numeric_stats": stats, "smoothing": smoothing}
 
 
+#: Rows of a model's table up to which it is sent to all tasks.
+SENT_ROWS = 200_000
+
+
 def nb_probs(model: dict, df: DataFrame, key: str, attributes: str) -> DataFrame:
-    """(key, class, log_prob, nb_prob): log10 scores and normed probabilities; a gap of over 300 powers of ten counts as zero."""
+    """(key, class, log_prob, nb_prob): log10 scores and normed probabilities; a gap of over 300 powers of ten counts as zero.
+
+    Each row with whole attributes gets a score for each class; values that training didn't see add nothing. Rows with
+    the same key are scored one by one.
+    """
     s = float(model["smoothing"])
-    rows = df.select(F.col(quoted(key)).alias("key"), F.posexplode(quoted(attributes)).alias("p", "value")).select("key", (F.col("p") + 1).alias("attr"), "value")
-    priors = model["priors"]
-    probs = model["feature_probs"].join(priors.select("class", "class_cnt"), "class")
-    nominal = rows.join(probs, ["attr", "value"]).select("key", "class", F.log10((F.col("cnt") + s) / (F.col("class_cnt") + s * F.col("attr_cnt"))).alias("l"))
-    numbers = rows.join(model["numeric_stats"], "attr")
-    z = F.col("value").cast("double") - F.col("attr_mean")
-    numeric = numbers.select("key", "class", ((-0.5 * F.log(2 * F.pi() * F.col("attr_var")) - z * z / (2 * F.col("attr_var"))) / F.log(F.lit(10.0))).alias("l"))
-    sums = nominal.unionByName(numeric).groupBy("key", "class").agg(F.sum("l").alias("l"))
-    scored = sums.join(priors, "class").select("key", "class", (F.col("l") + F.log10(F.col("class_cnt") / F.col("all_cnt"))).alias("log_prob"))
-    w = Window.partitionBy("key")
+    priors = model["priors"].withColumn("prior", F.log10(F.col("class_cnt") / F.col("all_cnt")))
+    whole = df.filter(_whole(attributes)).select(F.col(quoted(key)).alias("key"), F.col(quoted(attributes)).alias("values"), F.monotonically_increasing_id().alias("_row"))
+    cells = whole.crossJoin(F.broadcast(priors.select("class", "prior")))  # classes are few
+    cells = cells.select("_row", "key", "class", "prior", F.posexplode("values").alias("p", "value")).withColumn("attr", F.col("p") + 1)
+    probs = model["feature_probs"].join(F.broadcast(priors.select("class", "class_cnt")), "class")
+    probs = probs.filter((F.lit(s) > 0) | (F.col("cnt") > 0)).select("class", "attr", "value", F.log10((F.col("cnt") + s) / (F.col("class_cnt") + s * F.col("attr_cnt"))).alias("l"))
+    if probs.count() <= SENT_ROWS:  # else values are joined by shuffles
+        probs = F.broadcast(probs)
+    joined = cells.join(probs, ["class", "attr", "value"], "left").join(F.broadcast(model["numeric_stats"]), ["class", "attr"], "left")
+    z = F.col("value").try_cast("double") - F.col("attr_mean")
+    numeric = (-0.5 * F.log(2 * F.pi() * F.col("attr_var")) - z * z / (2 * F.col("attr_var"))) / F.log(F.lit(10.0))
+    scored = joined.groupBy("_row", "key", "class").agg((F.first("prior") + F.coalesce(F.sum(F.coalesce("l", numeric)), F.lit(0.0))).alias("log_prob"))
+    w = Window.partitionBy("_row")
     gap = F.col("log_prob") - F.max("log_prob").over(w)
     rel = F.when(gap < -300, 0.0).otherwise(F.pow(F.lit(10.0), gap))
-    return scored.withColumn("_r", rel).select("key", "class", "log_prob", (F.col("_r") / F.sum("_r").over(w)).alias("nb_prob"))
+    return scored.withColumn("_r", rel).select("_row", "key", "class", "log_prob", (F.col("_r") / F.sum("_r").over(w)).alias("nb_prob")).drop("_row")
 
 
 def argmax(df: DataFrame, groups: list[str], key: str, value: str) -> DataFrame:

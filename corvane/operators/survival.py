@@ -1,7 +1,7 @@
 """Cox proportional hazards (Breslow ties), its variances, and the test of proportional hazards.
 
 Risk-set sums are running sums over falling time. A pass sorts nothing by itself: rows are put once into time
-ranges (each small enough for a task), every range gives its sums, and the ranges' suffix totals, a row a
+ranges (about RANGE_CELLS numbers of a risk-set sum each; one time of many rows is one range), every range gives its sums, and the ranges' suffix totals, a row a
 range, turn them into risk-set sums. Strata are ranges of their own.
 """
 
@@ -16,9 +16,11 @@ from corvane.functions.prob import evaluate
 from corvane.operators.checks import complete, expr, features, names, options, quoted
 from corvane.operators.estimate import floats, model_frame, sym_pinv, width_of
 from corvane.operators.iteration import cut
+from corvane.operators.order import split_points
 from corvane.operators.regress import _dot, _ratio, _z_two
 
-RANGES = 64
+#: Numbers that the risk-set sums of a range hold.
+RANGE_CELLS = 4_000_000
 
 
 def _ranged(df: DataFrame, time: str, x, status, strata: list[str], more: dict | None = None) -> DataFrame:
@@ -27,7 +29,8 @@ def _ranged(df: DataFrame, time: str, x, status, strata: list[str], more: dict |
     d = F.lit(True) if status is None else expr(status)
     rows = df.select(expr(time).cast("double").alias("_t"), features(df, x).alias("_x"), d.cast("boolean").alias("_d"), s.alias("_s"), *[expr(e).alias(n) for n, e in (more or {}).items()])
     rows = rows.filter(complete(F.col("_t"), F.col("_x")) & F.col("_d").isNotNull())
-    cuts = sorted(set(rows.approxQuantile("_t", [i / RANGES for i in range(1, RANGES)], 0.002)))
+    k = rows.select(F.size("_x").alias("n")).limit(1).first()
+    cuts = split_points(rows, F.col("_t"), RANGE_CELLS // max(1, k[0] ** 2 if k else 1))
     r = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("_t"))) if cuts else F.lit(0)
     return cut(rows.withColumn("_r", r.cast("int")))
 

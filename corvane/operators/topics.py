@@ -2,11 +2,14 @@
 
 Documents are partitioned; an iteration samples all topics of a partition's words against the word-topic counts of
 the iteration before (sent to every task once the vocabulary's table is checked for size), and the new counts are
-summed by word and topic.
+summed by word and topic. Words are sampled TURNS of a document's at a time: those of one turn see the
+counts that the turns before left.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,6 +19,13 @@ from corvane.operators.iteration import cut
 
 #: Bytes of the word-topic table that is sent to tasks.
 LIMIT = 1 << 30
+#: Turns in which a document's words are sampled, and numbers of a step's tables.
+TURNS, CELLS = 8, 1 << 22
+
+
+def _stream(seed: int, doc) -> np.random.Generator:
+    """A document's random numbers, by its whole id."""
+    return np.random.default_rng([seed, *hashlib.blake2b(repr(doc).encode(), digest_size=16).digest()])
 
 
 def _counts(docs: DataFrame, voc: int, topics: int) -> np.ndarray:
@@ -40,28 +50,33 @@ def _sample(docs: DataFrame, table: np.ndarray, alpha: float, beta: float, seed:
     voc, topics = table.shape
 
     def run(batches):
-        local = shared.value.astype(float) + beta
+        local = shared.value.astype(float)
         total = local.sum(0)
         for pdf in batches:
-            out = []
-            for doc, w, z in zip(pdf.docid, pdf.words, pdf.assigned):
-                rng = np.random.default_rng([seed, int.from_bytes(str(doc).encode()[:8].ljust(8, b"\0"), "little")])
-                w, z = np.asarray(w, int), np.array(z, int)
-                mine = np.bincount(z, minlength=topics).astype(float)
-                for i in range(len(w)):
-                    k = z[i]
-                    mine[k] -= 1
+            size = np.array([len(w) for w in pdf.words], int)
+            w, z = np.concatenate([np.asarray(x, int) for x in pdf.words]), np.concatenate([np.asarray(x, int) for x in pdf.assigned])
+            doc = np.repeat(np.arange(len(size)), size)
+            draws = np.concatenate([_stream(seed, x).random(n) for x, n in zip(pdf.docid, size)])
+            mine = np.zeros((len(size), topics))
+            np.add.at(mine, (doc, z), 1)
+            place = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+            for turn in range(TURNS):
+                for i in np.array_split(at := np.flatnonzero(place % TURNS == turn), len(at) * topics // CELLS + 1):
+                    own = np.zeros((len(i), topics))
+                    own[np.arange(len(i)), z[i]] = 1
+                    seen, all_, here = (local[w[i]], total[None], mine[doc[i]] - own)
                     if update:
-                        local[w[i], k] -= 1
-                        total[k] -= 1
-                    p = np.cumsum(np.maximum(local[w[i]], 1e-12) / np.maximum(total, 1e-12) * (mine + alpha))
-                    k = int(np.searchsorted(p, rng.random() * p[-1]))
-                    z[i] = min(k, topics - 1)
-                    mine[z[i]] += 1
+                        seen, all_ = seen - own, all_ - own
+                    p = np.cumsum((np.maximum(seen, 0) + beta) / (np.maximum(all_, 0) + voc * beta) * (here + alpha), axis=1)
+                    new = np.minimum((p < (draws[i] * p[:, -1])[:, None]).sum(1), topics - 1)
+                    np.add.at(mine, (doc[i], z[i]), -1)
+                    np.add.at(mine, (doc[i], new), 1)
                     if update:
-                        local[w[i], z[i]] += 1
-                        total[z[i]] += 1
-                out.append(z.tolist())
+                        np.add.at(local, (w[i], z[i]), -1)
+                        np.add.at(local, (w[i], new), 1)
+                        total += np.bincount(new, minlength=topics) - np.bincount(z[i], minlength=topics)
+                    z[i] = new
+            out = [x.tolist() for x in np.split(z, np.cumsum(size)[:-1])]
             yield pd.DataFrame({"docid": pdf.docid, "words": pdf.words, "assigned": out})
 
     return cut(docs.mapInPandas(run, docs.schema))

@@ -171,21 +171,25 @@ def encode(df: DataFrame, features: list[str], bins: int) -> Encoding:
     return Encoding(kept, cont, cuts)
 
 
-def grow(rows: DataFrame, enc: Encoding, classes: list | None, criterion: str, max_depth: int, min_split: float, min_bucket: float, n_trees: int = 1, bootstrap: bool = False, n_random: int | None = None, seed: int = 0, surrogates: int = 0) -> list[Tree]:
-    """Trees from rows (_x codes, _y class number or value, _w weight, _id).
+def grow(rows: DataFrame, enc: Encoding, classes: list | None, criterion: str, max_depth: int, min_split: float, min_bucket: float, n_trees: int = 1, bootstrap: bool = False, n_random: int | None = None, seed: int = 0, surrogates: int = 0, folds: int = 0) -> list[Tree]:
+    """Trees from rows (_x codes, _y class number or value, _w weight, _id, _g group).
 
-    All trees of a forest grow together, a level in one pass.
+    All trees of a forest, of all groups and of all left-out folds grow together, a level in one pass. Without
+    bootstrap tree t belongs to group t // (folds + 1), and leaves out fold t % (folds + 1) - 1.
     """
     width = len(classes) if classes is not None else 3
     sizes = [len(b) + 1 if c else len(b) for c, b in zip(enc.continuous, enc.bins)]
     starts = np.concatenate(([0], np.cumsum(sizes)))
     total = int(starts[-1])
     trees = [Tree([], enc.features, enc.continuous, enc.bins, classes) for _ in range(n_trees)]
-    columns = {"_x": F.col("_x"), "_y": F.col("_y"), "_w": F.col("_w"), "_id": F.col("_id")}
+    columns = {"_x": F.col("_x"), "_y": F.col("_y"), "_w": F.col("_w"), "_id": F.col("_id"), "_g": F.col("_g").cast("double")}
     rng = np.random.default_rng(seed)
 
     def weights(a, t):
-        return a["_w"] * (poisson(a["_id"], t, seed) if bootstrap else 1.0)
+        if bootstrap:
+            return a["_w"] * poisson(a["_id"], t, seed)
+        group, out = divmod(t, folds + 1)
+        return a["_w"] * (a["_g"] == group) * (fold_of(a["_id"], folds, seed) != out - 1 if folds else 1.0)
 
     def moments(y, w):
         if classes is not None:
@@ -254,6 +258,11 @@ def grow(rows: DataFrame, enc: Encoding, classes: list | None, criterion: str, m
     return trees
 
 
+def fold_of(ids: np.ndarray, folds: int, seed: int) -> np.ndarray:
+    """Fold of each row, by a hash of its id."""
+    return np.minimum((unit(ids.astype(np.int64), 15_485_863 + seed) * folds).astype(int), folds - 1)
+
+
 def poisson(ids: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """Bootstrap weight of each row in a tree: a Poisson deviate of mean 1, by a hash of the row's id."""
 
@@ -351,6 +360,27 @@ def _inside(tree: Tree, target: int, codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def pruning_steps(tree: Tree, criterion: str, most: int = 20) -> list[float]:
+    """Complexity parameters between which other splits go: 0, and up to `most` spread over those at which one is cut."""
+    kind = "mse" if criterion == "mse" else "misclass"
+    risk0 = float(impurity(np.array(tree.nodes[0].stats), kind)) or 1.0
+    found: set[float] = set()
+
+    def walk(k):
+        node = tree.nodes[k]
+        own = float(impurity(np.array(node.stats), kind))
+        if node.feature < 0:
+            return own, 0
+        (a, n), (b, m) = walk(node.left), walk(node.right)
+        found.add(max((own - a - b) / risk0 / (n + m + 1), 0.0))
+        return a + b, n + m + 1
+
+    walk(0)
+    edges = np.array(sorted(found))
+    between = np.sqrt(np.maximum(edges[:-1], 1e-12) * edges[1:]) if len(edges) > 1 else edges
+    return [0.0, *sorted({float(v) for v in between[np.unique(np.linspace(0, len(between) - 1, min(most, len(between))).astype(int))]})] if len(between) else [0.0]
+
+
 def prune(tree: Tree, cp: float, criterion: str) -> Tree:
     """Cuts splits whose complexity-penalised risk isn't below that of a leaf."""
     risk0 = float(impurity(np.array(tree.nodes[0].stats), "mse" if criterion == "mse" else "misclass")) or 1.0
@@ -388,7 +418,7 @@ def prepared(df, y, enc, classes, weights, use_nulls):
     from corvane.operators.iteration import cut
 
     label = F.coalesce(*[F.when(expr(y) == F.lit(c), F.lit(float(i))) for i, c in enumerate(classes)]) if classes is not None else expr(y).cast("double")
-    rows = df.select(F.array(*enc.columns()).alias("_x"), label.alias("_y"), (expr(weights).cast("double") if weights else F.lit(1.0)).alias("_w"), F.monotonically_increasing_id().cast("double").alias("_id")).filter("_y IS NOT NULL")
+    rows = df.select(F.array(*enc.columns()).alias("_x"), label.alias("_y"), (expr(weights).cast("double") if weights else F.lit(1.0)).alias("_w"), F.monotonically_increasing_id().cast("double").alias("_id"), (F.col("_group") if "_group" in df.columns else F.lit(0)).alias("_g")).filter("_y IS NOT NULL")
     if not use_nulls:
         rows = rows.filter(~F.exists("_x", lambda e: e < 0))
     return cut(rows)
@@ -402,36 +432,92 @@ def label_values(df, y):
     return sorted(r[0] for r in df.select(expr(y).alias("y")).filter("y IS NOT NULL").distinct().toLocalIterator())
 
 
-def tree_train(df: DataFrame, y: str, features="*", exclude=(), split_criterion: str = "gini", groups=None, weights: str | None = None, max_depth: int = 10, min_split: int = 20, min_bucket: int | None = None, num_splits: int = 100, cp: float = 0.01, max_surrogates: int = 0) -> DataFrame:
-    """A tree for each group: group columns, tree (JSON), depth, num_leaves, importance.
+def tree_train(
+    df: DataFrame,
+    y: str,
+    features="*",
+    exclude=(),
+    split_criterion: str = "gini",
+    groups=None,
+    weights: str | None = None,
+    max_depth: int = 10,
+    min_split: int = 20,
+    min_bucket: int | None = None,
+    num_splits: int = 100,
+    cp: float = 0.01,
+    max_surrogates: int = 0,
+    n_folds: int = 0,
+    seed: int = 0,
+) -> DataFrame:
+    """A tree for each group: group columns, tree (JSON), depth, num_leaves, importance, cp, cv (cp, cv_error_avg, cv_error_stddev).
 
     A response that isn't a floating-point number is a class. Rows with null features are left out unless
-    surrogates are asked for; null group values are left out.
+    surrogates are asked for; null group values are left out. Trees of all groups grow together. With `n_folds` of 2 or
+    more each tree is pruned by the complexity parameter of at least `cp` whose error on left-out folds is the least.
     """
     groups = names(groups)
     listed = expand(df, features, [*exclude, y, *groups, *([weights] if weights else [])])
-    keys = [()] if not groups else [tuple(r) for r in df.select(*[quoted(g) for g in groups]).dropna().distinct().collect()]  # one for each model
+    keys = [()]
+    if groups:
+        table = df.select(*[quoted(g) for g in groups]).dropna().distinct()
+        keys = [tuple(r) for r in table.collect()]  # one for each model
+        if not keys:
+            raise ValueError("no group to train on")
+        numbered = df.sparkSession.createDataFrame([(*key, i) for i, key in enumerate(keys)], ", ".join([*[f"{quoted(g)} {df.schema[g].dataType.simpleString()}" for g in groups], "_group int"]))
+        df = df.join(F.broadcast(numbered), groups)
+    classes = label_values(df, y) if is_classification(df, y) else None
+    criterion = "mse" if classes is None else split_criterion
+    enc = encode(df, listed, num_splits)
+    rows = prepared(df, y, enc, classes, weights, max_surrogates > 0)
+    bucket = min_bucket if min_bucket is not None else max(1, min_split // 3)
+    folds = n_folds if n_folds >= 2 else 0
+    trees = grow(rows, enc, classes, criterion, max_depth, min_split, bucket, n_trees=len(keys) * (folds + 1), seed=seed, surrogates=max_surrogates, folds=folds)
+    own = trees[:: folds + 1]
+    chosen, tables = [cp] * len(keys), [None] * len(keys)
+    if folds:
+        steps = [sorted({cp, *[v for v in pruning_steps(t, criterion) if v > cp]}) for t in own]
+        tables = _validated(rows, trees, steps, criterion, classes, folds, seed)
+        chosen = [min(reversed(t), key=lambda r: r[1])[0] for t in tables]
     out = []
-    for key in keys:
-        part = df
-        for g, v in zip(groups, key):
-            part = part.filter(F.col(quoted(g)) == F.lit(v))
-        classes = label_values(part, y) if is_classification(part, y) else None
-        criterion = "mse" if classes is None else split_criterion
-        enc = encode(part, listed, num_splits)
-        rows = prepared(part, y, enc, classes, weights, max_surrogates > 0)
-        bucket = min_bucket if min_bucket is not None else max(1, min_split // 3)
-        tree = grow(rows, enc, classes, criterion, max_depth, min_split, bucket, surrogates=max_surrogates)[0]
-        if cp > 0:
-            tree = prune(tree, cp, criterion)
+    for key, tree, value, table in zip(keys, own, chosen, tables):
+        if value > 0:
+            tree = prune(tree, value, criterion)
         leaves = sum(n.feature < 0 for n in tree.nodes)
         importance = [0.0] * len(tree.features)
         for n in tree.nodes:
             if n.feature >= 0:
                 importance[n.feature] += n.gain
-        out.append((*key, tree.to_json(), max(n.depth for n in tree.nodes), leaves, dict(zip(tree.features, map(float, importance)))))
+        out.append((*key, tree.to_json(), max(n.depth for n in tree.nodes), leaves, dict(zip(tree.features, map(float, importance))), float(value), table))
     kinds = [f"{quoted(g)} {df.schema[g].dataType.simpleString()}" for g in groups]
-    return df.sparkSession.createDataFrame(out, ", ".join([*kinds, "tree string, tree_depth int, num_leaves int, importance map<string,double>"]))
+    return df.sparkSession.createDataFrame(out, ", ".join([*kinds, "tree string, tree_depth int, num_leaves int, importance map<string,double>, cp double, cv array<struct<cp:double,cv_error_avg:double,cv_error_stddev:double>>"]))
+
+
+def _validated(rows: DataFrame, trees: list[Tree], steps: list[list[float]], criterion: str, classes: list | None, folds: int, seed: int) -> list[list[tuple]]:
+    """For each group (cp, mean error, its deviation) over the left-out folds of the trees pruned by each step: one pass."""
+    pruned = {(g, f, i): prune(Tree.from_json(trees[g * (folds + 1) + f + 1].to_json()), v, criterion) for g, mine in enumerate(steps) for i, v in enumerate(mine) for f in range(folds)}
+    places = {k: n for n, k in enumerate(pruned)}
+    shared = rows.sparkSession.sparkContext.broadcast(list(pruned.items()))
+
+    def kernel(key, a):
+        out = np.zeros((len(places), 2))
+        codes, fold = a["_x"].astype(int), fold_of(a["_id"], folds, seed)
+        for n, ((g, f, _), tree) in enumerate(shared.value):
+            mine = (a["_g"] == g) & (fold == f)
+            if mine.any():
+                s = np.array([x.stats for x in tree.nodes])[tree.route(codes[mine])]
+                y, w = a["_y"][mine], a["_w"][mine]
+                wrong = s.argmax(1) != y if classes is not None else (s[:, 1] / np.maximum(s[:, 0], 1e-300) - y) ** 2
+                out[n] = (wrong * w).sum(), w.sum()
+        return out.ravel()
+
+    columns = {"_x": F.col("_x"), "_y": F.col("_y"), "_w": F.col("_w"), "_id": F.col("_id"), "_g": F.col("_g").cast("double")}
+    s = group_sums(rows, [], columns, kernel)[()].reshape(-1, 2)
+    error = s[:, 0] / np.maximum(s[:, 1], 1e-300)
+    out = []
+    for g, mine in enumerate(steps):
+        by = [np.array([error[places[g, f, i]] for f in range(folds)]) for i in range(len(mine))]
+        out.append([(float(v), float(e.mean()), float(e.std(ddof=1))) for v, e in zip(mine, by)])
+    return out
 
 
 def _predict(df: DataFrame, trees: list[Tree], id_col: str, kind: str) -> DataFrame:
@@ -516,9 +602,11 @@ def tree_surr_display(model: DataFrame) -> str:
     return "\n".join(lines)
 
 
-def forest_train(df: DataFrame, y: str, features="*", exclude=(), num_trees: int = 20, num_random_features: int | None = None, importance: bool = True, num_permutations: int = 1, max_depth: int = 10, min_split: int = 20, min_bucket: int | None = None, num_splits: int = 20, seed: int = 0) -> dict[str, DataFrame]:
+def forest_train(df: DataFrame, y: str, features="*", exclude=(), num_trees: int = 20, num_random_features: int | None = None, importance: bool = True, num_permutations: int = 1, max_depth: int = 10, min_split: int = 20, min_bucket: int | None = None, num_splits: int = 20, seed: int = 0, sample_ratio: float = 1.0) -> dict[str, DataFrame]:
     """{model, summary, importance}: bootstrap by Poisson weights; the error is that of out-of-bag rows (weight 0).
 
+    A `sample_ratio` below 1 trains on that share of the rows, drawn at random.
+
     Importance of a feature: how much the out-of-bag error grows when its values are exchanged among all rows.
     """
     classes = label_values(df, y) if is_classification(df, y) else None
@@ -526,7 +614,9 @@ def forest_train(df: DataFrame, y: str, features="*", exclude=(), num_trees: int
     enc = encode(df, listed, num_splits)
     m = len(enc.features)
     n_random = num_random_features or max(1, int(math.sqrt(m)) if classes is not None else m // 3)
-    rows = prepared(df, y, enc, classes, None, True)
+    if not 0 < sample_ratio <= 1:
+        raise ValueError("sample_ratio lies in 0..1")
+    rows = prepared(df if sample_ratio == 1 else df.sample(sample_ratio, seed), y, enc, classes, None, True)
     bucket = min_bucket if min_bucket is not None else max(1, min_split // 3)
     trees = grow(rows, enc, classes, "mse" if classes is None else "gini", max_depth, min_split, bucket, num_trees, True, min(n_random, m), seed)
     spark = df.sparkSession

@@ -5,8 +5,6 @@ Each query takes (spark, sf_dir). Computed doubles are rounded in the query and
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,36 +29,11 @@ from corvane.operators import series as SE
 from corvane.operators import survival as SU
 from corvane.operators import topics as TO
 from corvane.operators import trees as TR
-from corvane.sources import pmml, tables
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _register(name: str, f, sql: str | None) -> None:
-    QUERIES[name] = f
-    if sql:
-        ORACLE_SQL[name] = sql
-
-
-def _t(spark, sf, name):
-    return tables.read(spark, sf, name)
-
-
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """The table with its double columns rounded; negative zero is zero."""
-    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in df.dtypes])
-
+from corvane.plans import fits, laws, properties  # noqa: F401  (they register queries)
+from corvane.plans.registry import ORACLE_SQL, QUERIES, query, rounded
+from corvane.plans.registry import register as _register
+from corvane.plans.registry import table as _t
+from corvane.sources import pmml
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordinary least squares of the price of a line on quantity and discount, by return flag."""
@@ -207,6 +180,71 @@ _svec("svec_contains", lambda: SV.contains("x", "x").cast("int"), "1", False)
 _svec("svec_eq_non_zero", lambda: SV.eq_non_zero("x", "y").cast("int"), f"CASE WHEN list_sum({_pairs('CASE WHEN z[1] = 0 OR z[2] = 0 OR z[1] = z[2] THEN 0 ELSE 1 END')}) = 0 THEN 1 ELSE 0 END", False)
 _svec("svec_median", lambda: SV.median("x"), "list_sort(x)[CAST(floor((len(x) + 1) / 2) AS BIGINT)]", False)
 _svec("svec_tanimoto", lambda: SV.tanimoto_distance("x", "y"), f"CASE WHEN {_XX} + {_YY} = {_XY} THEN 0 ELSE 1 - {_XY} / ({_XX} + {_YY} - {_XY}) END", False)
+_svec("svec_le", lambda: SV.le("x", "y").cast("int"), "CASE WHEN x <= y THEN 1 ELSE 0 END", False)
+_svec("svec_gt", lambda: SV.gt("x", "y").cast("int"), "CASE WHEN x > y THEN 1 ELSE 0 END", False)
+_svec("svec_ne", lambda: SV.ne("x", "y").cast("int"), "CASE WHEN x <> y THEN 1 ELSE 0 END", False)
+_svec("float8arr_eq", lambda: SV.eq(SV.from_array(SV.to_array("x")), SV.from_array(SV.to_array("y"))).cast("int"), "CASE WHEN x = y THEN 1 ELSE 0 END", False)
+_HEAD, _TAIL = _SUM.format("x[1:4]", "e * e"), _SUM.format("x[5:8]", "e * e")
+for _name, _sign in (("lt", "<"), ("le", "<="), ("eq", "="), ("ne", "<>"), ("gt", ">"), ("ge", ">=")):
+    _test = {"lt": lambda c: c < 0, "le": lambda c: c <= 0, "eq": lambda c: c == 0, "ne": lambda c: c != 0, "gt": lambda c: c > 0, "ge": lambda c: c >= 0}[_name]
+    _svec(f"svec_l2_{_name}", lambda f=_test: f(SV.l2_compare(SV.subvec("x", 1, 4), SV.subvec("x", 5, 8))).cast("int"), f"CASE WHEN {_HEAD} {_sign} {_TAIL} THEN 1 ELSE 0 END", False)
+for _name, _f, _sign in (("plus", SV.plus, "+"), ("minus", SV.minus, "-"), ("mult", SV.mult, "*"), ("div", SV.div, "/")):
+    _second = "(z[2] * z[2] + 1)" if _name == "div" else "z[2]"
+    for _left, _right in (("float8arr", "float8arr"), ("float8arr", "svec"), ("svec", "float8arr")):
+
+        def _mixed(f=_f, left=_left, right=_right, div=_name == "div"):
+            b = SV.plus(SV.mult("y", "y"), SV.from_scalar(F.lit(1.0))) if div else F.col("y")
+            return f(SV.Dense(SV.to_array("x")) if left == "float8arr" else "x", SV.Dense(SV.to_array(b)) if right == "float8arr" else b)
+
+        _svec(f"{_left}_{_name}_{_right}", _mixed, _pairs(f"z[1] {_sign} {_second}"))
+for _name, _kind in (("int2", "smallint"), ("int4", "int"), ("int8", "bigint"), ("float4", "float"), ("float8", "double"), ("numeric", "decimal(20,4)")):
+    _svec(f"svec_cast_{_name}", lambda k=_kind: SV.from_scalar(F.element_at(SV.to_array("x"), 2).cast(k)), "[x[2]]")
+    _svec(f"float8arr_cast_{_name}", lambda k=_kind: SV.from_array(SV.to_array(SV.from_scalar(F.element_at(SV.to_array("y"), 2).cast(k)))), "[y[2]]")
+_svec("svec_cast_positions_float8arr", lambda: SV.from_positions(F.array(F.lit(1), F.lit(3)), F.slice(SV.to_array("x"), 1, 2), 5, 0.0), "[x[1], 0, x[2], 0, 0]")
+_svec("svec_send", lambda: SV.recv(SV.send("x")), "x")
+_svec("svec_recv", lambda: SV.recv(F.encode(F.concat(F.lit("{1,2}:{"), F.element_at(SV.to_array("x"), 1).cast("string"), F.lit(",7}")), "UTF-8")), "[x[1], 7, 7]")
+_svec("svec_dmin", lambda: SV.dmin(SV.proj("x", 1), SV.proj("y", 1)), "least(x[1], y[1])", False)
+_svec("svec_dmax", lambda: SV.dmax(SV.proj("x", 1), SV.proj("y", 1)), "greatest(x[1], y[1])", False)
+_svec("angle", lambda: F.round(SV.angle(SV.plus(SV.mult("x", "x"), SV.from_scalar(F.lit(1.0))), SV.plus(SV.mult("y", "y"), SV.from_scalar(F.lit(2.0)))), 5), "round(acos(least(1, list_cosine_similarity(list_transform(x, lambda e: e * e + 1), list_transform(y, lambda e: e * e + 2)))), 5)", False)
+_svec("svec_hash", lambda: (SV.hash_("x") == SV.hash_(SV.from_array(F.reverse(SV.to_array("y"))))).cast("int"), "1", False)
+
+
+def _by_vector(name, f, sql):
+    def g(spark, sf):
+        v = _vectors(spark, sf).select("vec_id", *[SV.from_array(F.transform(c, lambda e: F.floor(e * 3).cast("double"))).alias(c) for c in "xy"])
+        return f(v.join(_t(spark, sf, "embeddings").select("vec_id", "label"), "vec_id"))
+
+    _register(name, g, sql)
+
+
+_RUNS = "list_filter(range(1, len(x) + 1), lambda i: i = 1 OR x[i] <> x[i - 1])"
+_TEXT_SQL = (
+    "SELECT vec_id, '{' || array_to_string(list_transform(range(1, len(s) + 1), lambda k: coalesce(s[k + 1], len(x) + 1) - s[k]), ',') || '}:{' || "
+    f"array_to_string(list_transform(s, lambda i: CAST(x[i] AS BIGINT)), ',') || '}}' AS text FROM (SELECT vec_id, x, {_RUNS} AS s FROM ({_S_SQL}))"
+)
+_by_vector("svec_out", lambda v: v.select("vec_id", SV.to_string("x").alias("text")), _TEXT_SQL)
+_by_vector("svec_to_string", lambda v: v.select("vec_id", SV.to_string(SV.from_string(SV.to_string("x"))).alias("text")), _TEXT_SQL)
+_by_vector("svec_unnest", lambda v: v.select("vec_id", SV.unnest("x").alias("e")).groupBy("e").agg(F.count("*").alias("n")), f"SELECT e, count(*) AS n FROM (SELECT unnest(x) AS e FROM ({_S_SQL})) GROUP BY e")
+_LABELLED = f"(SELECT label, vec_id, x, i - 1 AS p, x[i] AS e FROM ({_S_SQL}) JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id), (SELECT unnest(range(1, 9)) AS i))"
+for _name, _f, _q in (("svec_sum", SV.sum_of, "sum(e)"), ("svec_mean", SV.mean_of, "avg(e)"), ("svec_count_nonzero", SV.count_nonzero, "CAST(count(*) FILTER (WHERE e <> 0) AS DOUBLE)")):
+    _by_vector(_name, lambda v, f=_f: rounded(v.groupBy("label").agg(f("x", 8).alias("s")).select("label", F.posexplode(SV.to_array("s")).alias("p", "value")), 5), f"SELECT label, p, round({_q}, 5) + 0.0 AS value FROM {_LABELLED} GROUP BY label, p")
+_by_vector(
+    "svec_agg",
+    lambda v: v.groupBy("label").agg(SV.agg_values(SV.proj("x", 1), "vec_id").alias("s")).select("label", F.posexplode(SV.to_array("s")).alias("p", "value")),
+    f"SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS p, e AS value FROM {_LABELLED} WHERE p = 0",
+)
+
+
+@query("SELECT conv_id, turn, list_transform(['a', 'and', 'of', 'the', 'to'], lambda t: CAST(len(list_filter(string_split(lower(text), ' '), lambda w: w = t)) AS DOUBLE)) AS counts FROM conversations")
+def svec_sfv(spark, sf):
+    words = ["a", "and", "of", "the", "to"]
+    return _t(spark, sf, "conversations").select("conv_id", "turn", SV.to_array(SV.term_counts(F.array(*map(F.lit, words)), F.split(F.lower("text"), " "))).alias("counts"))
+
+
+@query("SELECT conv_id, turn, list_sort(string_split(text, ' '))[1] AS first, list_sort(string_split(text, ' '))[-1] AS last FROM conversations")
+def svec_sort(spark, sf):
+    w = _t(spark, sf, "conversations").select("conv_id", "turn", SV.sort_words(F.split("text", " ")).alias("w"))
+    return w.select("conv_id", "turn", F.col("w")[0].alias("first"), F.element_at("w", -1).alias("last"))
 
 
 # aggregates of arrays, by label
@@ -231,7 +269,43 @@ _aggregate("array_avg", lambda: A.array_avg("x", _WIDTH, True), f"SELECT label,
 _aggregate("utils_var_scales", lambda: A.var_scales("x", _WIDTH)["std"], f"SELECT label, p, round(stddev_pop(e), 5) + 0.0 AS value FROM {_EL} GROUP BY label, p")
 _aggregate("crossprod", lambda: A.crossprod("x", "x", 2, 2), "SELECT label, p, round(v, 5) + 0.0 AS value FROM (SELECT label, unnest([sum(a * a), sum(a * b), sum(b * a), sum(b * b)]) AS v, unnest([0, 1, 2, 3]) AS p FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings) GROUP BY label)")
 _aggregate("crossprod_sym", lambda: A.crossprod_sym("x", 2), "SELECT label, p, round(v, 5) + 0.0 AS value FROM (SELECT label, unnest([sum(a * a), sum(a * b), sum(b * b)]) AS v, unnest([0, 1, 2]) AS p FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings) GROUP BY label)")
-_aggregate("normalized_avg", lambda: A.normalized_avg("x", _WIDTH), None)
+_aggregate("normalized_avg", lambda: A.normalized_avg("x", _WIDTH), f"SELECT label, p, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 5) + 0.0 AS value FROM (SELECT label, i - 1 AS p, avg(x[i] / sqrt({_XX})) AS m FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), (SELECT unnest(range(1, 9)) AS i) GROUP BY label, i)")
+_aggregate("array_elem_corr_agg", lambda: A.array_elem_corr("x", F.col("vec_id"), _WIDTH), f"SELECT label, p, round(corr(e, vec_id), 5) + 0.0 AS value FROM (SELECT label, vec_id, i - 1 AS p, CAST(embedding AS DOUBLE[])[i] AS e FROM embeddings, (SELECT unnest(range(1, 9)) AS i)) GROUP BY label, p")
+_aggregate("array_union", lambda: A.array_union(F.slice("x", 1, 2), "vec_id"), "SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS p, round(CAST(embedding AS DOUBLE[])[i], 5) + 0.0 AS value FROM embeddings, (SELECT unnest([1, 2]) AS i)")
+_aggregate("array_agg", lambda: F.array_sort(A.array_agg(F.col("x")[0])), "SELECT label, row_number() OVER (PARTITION BY label ORDER BY e) - 1 AS p, round(e, 5) + 0.0 AS value FROM (SELECT label, CAST(embedding AS DOUBLE[])[1] AS e FROM embeddings)")
+_aggregate("matrix_agg", lambda: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", F.slice("x", 1, 2).alias("v")))), lambda e: e["v"])), "SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS p, round(CAST(embedding AS DOUBLE[])[i], 5) + 0.0 AS value FROM embeddings, (SELECT unnest([1, 2]) AS i)")
+
+
+@query(f"SELECT vec_id, round(unnest([x[1], y[1]]), 6) AS head FROM ({_E_SQL})")
+def deconstruct_2d_array(spark, sf):
+    return rounded(_vectors(spark, sf).select("vec_id", A.deconstruct_2d_array(F.array("x", "y")).alias("row")).select("vec_id", F.col("row")[0].alias("head")), 6)
+
+
+_array("index_2d_array", lambda: A.index_2d_array(F.array("x", "y"), 2), "y")
+
+
+@query("SELECT vec_id, '[1:2, 3:' || vec_id || ']' AS text FROM embeddings")
+def array_collapse(spark, sf):
+    return _vectors(spark, sf).select("vec_id", A.array_collapse(F.array(F.array(F.lit("1"), F.lit("2")), F.array(F.lit("3"), F.col("vec_id").cast("string")))).alias("text"))
+
+
+@query("SELECT a.conv_id, a.turn, round(1 - len(list_intersect(a.w, b.w)) * 1.0::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS distance FROM (SELECT conv_id, turn, list_distinct(string_split(text, ' ')) AS w FROM conversations) a JOIN (SELECT conv_id, turn, list_distinct(string_split(text, ' ')) AS w FROM conversations) b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn")
+def dist_jaccard(spark, sf):
+    c = _t(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("w"))
+    later = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
+    return rounded(c.join(later, ["conv_id", "turn"]).select("conv_id", "turn", ME.dist_jaccard("w", "v").alias("distance")), 6)
+
+
+@query("SELECT vec_id, array_to_string(list_transform(range(1, 33), lambda i: '0123456789ABCDEF'[1 + ((strpos('0123456789abcdef', a[i]) - 1) | (strpos('0123456789abcdef', b[i]) - 1))]), '') AS bits FROM (SELECT vec_id, md5(CAST(vec_id AS VARCHAR)) AS a, md5(CAST(vec_id + 1 AS VARCHAR)) AS b FROM embeddings)")
+def big_or(spark, sf):
+    bits = lambda c: F.unhex(F.md5(c.cast("string")))
+    v = _t(spark, sf, "embeddings").select("vec_id", bits(F.col("vec_id")).alias("a"), bits(F.col("vec_id") + 1).alias("b"))
+    return v.select("vec_id", F.hex(SK.big_or("a", "b")).alias("bits"))
+
+
+@query("SELECT vec_id, isnan(CASE WHEN vec_id % 3 = 0 THEN 'NaN'::DOUBLE ELSE vec_id END) AS nan FROM embeddings")
+def isnan(spark, sf):
+    return _t(spark, sf, "embeddings").select("vec_id", F.isnan(F.when(F.col("vec_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("vec_id").cast("double"))).alias("nan"))
 
 
 # descriptive statistics
@@ -271,6 +345,16 @@ def profile(spark, sf):
     return D.profile(_t(spark, sf, "orders"))
 
 
+_ORDER_COLUMNS = {"o_orderkey": 0, "o_custkey": 0, "o_totalprice": 2}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS count, round(min({c}), 2) AS min, round(max({c}), 2) AS max, round(avg({c}), 2) AS avg FROM orders" for c in _ORDER_COLUMNS))
+def profile_of_numbers(spark, sf):
+    p = D.profile(_t(spark, sf, "orders").select(*_ORDER_COLUMNS))
+    value = lambda s: F.max(F.when(F.col("statistic") == s, F.col("value"))).cast("double")
+    return rounded(p.groupBy("column_name").agg(value("count").cast("long").alias("count"), *[value(s).alias(s) for s in ("min", "max", "avg")]), 2)
+
+
 @query()
 def profile_full(spark, sf):
     return D.profile_full(_t(spark, sf, "supplier"), 5)
@@ -345,7 +429,7 @@ def mfvsketch_top_histogram(spark, sf):
     return SK.mfvsketch_top_histogram(_t(spark, sf, "lineitem"), "l_linenumber", 3)
 
 
-@query()
+@query("SELECT l_linenumber AS value, count(*) AS count FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
 def mfvsketch_quick_histogram(spark, sf):
     return SK.mfvsketch_quick_histogram(_t(spark, sf, "lineitem"), "l_linenumber", 3)
 
@@ -357,6 +441,16 @@ def cmsketch(spark, sf):
     return spark.createDataFrame([(SK.cmsketch_count(s, 3), SK.cmsketch_rangecount(s, 2, 5), SK.cmsketch_median(s, li.count()))], "point long, between_2_5 long, median int")
 
 
+def _sketch(name, kind, f, sql):
+    _register(name, lambda spark, sf: spark.createDataFrame([(f(SK.cmsketch(_t(spark, sf, "lineitem"), "l_linenumber"), _t(spark, sf, "lineitem").count()),)], f"value {kind}"), sql)
+
+
+_sketch("cmsketch_count", "long", lambda s, n: SK.cmsketch_count(s, 4), "SELECT count(*) AS value FROM lineitem WHERE l_linenumber = 4")
+_sketch("cmsketch_rangecount", "long", lambda s, n: SK.cmsketch_rangecount(s, 3, 6), "SELECT count(*) AS value FROM lineitem WHERE l_linenumber BETWEEN 3 AND 6")
+_sketch("cmsketch_centile", "int", lambda s, n: SK.cmsketch_centile(s, 80, n), "SELECT list(l_linenumber ORDER BY l_linenumber)[CAST(ceil(count(*) * 0.8) AS BIGINT)] AS value FROM lineitem")
+_sketch("cmsketch_median", "int", lambda s, n: SK.cmsketch_median(s, n), "SELECT list(l_linenumber ORDER BY l_linenumber)[CAST(ceil(count(*) * 0.5) AS BIGINT)] AS value FROM lineitem")
+
+
 @query("SELECT lo, lo AS hi, (SELECT count(*) FROM lineitem WHERE l_linenumber = lo) AS count FROM (SELECT unnest(range(1, 8)) AS lo)")
 def cmsketch_width_histogram(spark, sf):
     return spark.createDataFrame(SK.cmsketch_width_histogram(SK.cmsketch(_t(spark, sf, "lineitem"), "l_linenumber"), 1, 7, 7), "lo long, hi long, count long")
@@ -480,11 +574,6 @@ _register("matrix_diag", lambda spark, sf: M.diag(spark, [3.0, 2.0]), "SELECT 1
 _register("matrix_ones", lambda spark, sf: M.entries(M.ones(spark, 2, 2)), "SELECT r AS row_id, c AS col_id, 1.0::DOUBLE AS val FROM (SELECT unnest([1, 2]) AS r), (SELECT unnest([1, 2]) AS c)")
 _register("matrix_zeros", lambda spark, sf: M.entries(M.zeros(spark, 2, 2)), "SELECT r AS row_id, c AS col_id, 0.0::DOUBLE AS val FROM (SELECT unnest([1, 2]) AS r), (SELECT unnest([1, 2]) AS c)")
 _register("matrix_random", lambda spark, sf: M.random(spark, 5, 3, "uniform", 1), None)
-for _name, _f in [("matrix_inverse", M.inverse), ("matrix_pinv", M.pinv), ("matrix_eigen", M.eigen)]:
-    _register(_name, lambda spark, sf, f=_f: f(_matrix(spark, sf)), None)
-for _name, _f, _key in [("matrix_lu", M.lu, "u"), ("matrix_qr", M.qr, "r"), ("matrix_cholesky", lambda m: M.cholesky(M.square(m)), "l")]:
-    _register(_name, lambda spark, sf, f=_f, k=_key: f(_matrix(spark, sf))[k], None)
-_register("matrix_rank", lambda spark, sf: spark.createDataFrame([(M.rank(_matrix(spark, sf)), M.nuclear_norm(_matrix(spark, sf)))], "rank int, nuclear_norm double"), None)
 
 
 # regressions
@@ -514,57 +603,13 @@ def logregr_predict(spark, sf):
 
 
 _rows = {
-    "linregr_summary": lambda s, f: R.linregr_train(_t(s, f, "lineitem"), "l_extendedprice", _X, None, True)[1],
-    "heteroskedasticity_test_linregr": lambda s, f: R.linregr_train(_t(s, f, "lineitem"), "l_extendedprice", _X, "l_returnflag", True)[0],
-    "logregr_train": lambda s, f: R.logregr_train(_with_class(s, f), "hi", _X, "l_returnflag")[0],
-    "logregr_train_cg": lambda s, f: R.logregr_train(_with_class(s, f), "hi", _X, None, 10, "cg")[0],
     "logregr_train_igd": lambda s, f: R.logregr_train(_with_class(s, f), "hi", _X, None, 10, "igd")[0],
-    "mlogregr_train": lambda s, f: R.mlogregr_train(_t(s, f, "lineitem"), "l_returnflag", _X),
-    "mlogregr_predict": lambda s, f: R.mlogregr_predict(R.mlogregr_train(_with_class(s, f), "l_returnflag", _X), _with_class(s, f), "id", _X, "prob"),
-    "robust_variance_linregr": lambda s, f: R.robust_variance_linregr(_t(s, f, "lineitem"), "l_extendedprice", _X),
-    "robust_variance_logregr": lambda s, f: R.robust_variance_logregr(_with_class(s, f), "hi", _X),
-    "robust_variance_mlogregr": lambda s, f: R.robust_variance_mlogregr(_t(s, f, "lineitem"), "l_returnflag", _X),
-    "clustered_variance_linregr": lambda s, f: R.clustered_variance_linregr(_t(s, f, "lineitem"), "l_extendedprice", _X, "l_suppkey"),
-    "clustered_variance_logregr": lambda s, f: R.clustered_variance_logregr(_with_class(s, f), "hi", _X, "l_suppkey"),
-    "clustered_variance_mlogregr": lambda s, f: R.clustered_variance_mlogregr(_t(s, f, "lineitem"), "l_returnflag", _X, "l_suppkey"),
-    "margins_logregr": lambda s, f: R.margins_logregr(_with_class(s, f), "hi", _X),
-    "margins_mlogregr": lambda s, f: R.margins_mlogregr(_t(s, f, "lineitem"), "l_returnflag", _X),
-    "margins": lambda s, f: R.margins(_t(s, f, "lineitem"), "linregr", "l_extendedprice", _X),
-    "glm_poisson": lambda s, f: G.glm(_t(s, f, "lineitem"), "l_linenumber", _X, "poisson"),
-    "glm_gamma": lambda s, f: G.glm(_t(s, f, "lineitem"), "l_extendedprice / 1000", _X, "gamma", "log"),
-    "glm_inverse_gaussian": lambda s, f: G.glm(_t(s, f, "lineitem"), "l_extendedprice / 1000", ["1", "l_discount"], "inverse_gaussian", "log"),
-    "glm_gaussian": lambda s, f: G.glm(_t(s, f, "lineitem"), "l_extendedprice", _X, "gaussian", None, "l_returnflag"),
-    "glm_binomial": lambda s, f: G.glm(_with_class(s, f), "hi", _X, "binomial", "probit"),
-    "multinom": lambda s, f: G.multinom(_t(s, f, "lineitem"), "l_returnflag", _X),
-    "multinom_predict": lambda s, f: G.multinom_predict(G.multinom(_with_class(s, f), "l_returnflag", _X), _with_class(s, f), "id", _X),
-    "ordinal": lambda s, f: G.ordinal(_t(s, f, "lineitem"), "l_linenumber", _X[1:], [1, 2, 3, 4, 5, 6, 7]),
-    "ordinal_predict": lambda s, f: G.ordinal_predict(G.ordinal(_with_class(s, f), "l_linenumber", _X[1:], [1, 2, 3, 4, 5, 6, 7]), _with_class(s, f), "id", _X[1:], [1, 2, 3, 4, 5, 6, 7]),
-    "elastic_net_gaussian": lambda s, f: PE.elastic_net_train(_t(s, f, "lineitem"), "l_extendedprice / 1000", ["l_quantity", "l_discount", "l_tax"], "gaussian", 0.5, 0.1),
     "elastic_net_binomial": lambda s, f: PE.elastic_net_train(_with_class(s, f), "hi", ["l_quantity", "l_discount"], "binomial", 0.5, 0.01, max_iter=10),
-    "elastic_net_predict": lambda s, f: PE.elastic_net_predict(PE.elastic_net_train(_with_class(s, f), "l_extendedprice / 1000", ["l_quantity", "l_tax"], "gaussian", 0.5, 0.1), _with_class(s, f), "id", ["l_quantity", "l_tax"]),
     "svm_classification": lambda s, f: PE.svm_classification(_with_class(s, f), "hi", _X, params="max_iter=8"),
     "svm_classification_gaussian": lambda s, f: PE.svm_classification(_with_class(s, f), "hi", _X, "gaussian", "gamma=1.0,n_components=8", params="max_iter=5"),
     "svm_regression": lambda s, f: PE.svm_regression(_t(s, f, "lineitem"), "l_linenumber", _X, params="max_iter=8"),
     "svm_predict": lambda s, f: PE.svm_predict(PE.svm_classification(_with_class(s, f), "hi", _X, params="max_iter=4"), _with_class(s, f), "id", _X),
-    "kmeanspp": lambda s, f: CL.kmeanspp(_t(s, f, "embeddings"), "embedding", 4, max_num_iterations=6),
-    "kmeans_random": lambda s, f: CL.kmeans_random(_t(s, f, "embeddings"), "embedding", 3, "dist_norm1", max_num_iterations=4),
-    "kmeans": lambda s, f: CL.kmeans(_t(s, f, "embeddings"), "embedding", CL.kmeans_random_seeding(_t(s, f, "embeddings"), "embedding", 3), "dist_angle", "normalized_avg", 4),
-    "kmeanspp_seeding": lambda s, f: M.table(s, CL.kmeanspp_seeding(_t(s, f, "embeddings"), "embedding", 3)),
-    "kmeans_random_seeding": lambda s, f: M.table(s, CL.kmeans_random_seeding(_t(s, f, "embeddings"), "embedding", 3)),
-    "simple_silhouette": lambda s, f: CL.simple_silhouette(_t(s, f, "embeddings"), "embedding", CL.kmeans_random_seeding(_t(s, f, "embeddings"), "embedding", 3)),
-    "svd": lambda s, f: FA.svd(_dense(s, f), 3)["s"],
-    "svd_sparse": lambda s, f: FA.svd(_matrix(s, f), 3)["s"],
-    "svd_block": lambda s, f: FA.svd(M.blockize(_matrix(s, f), 3, 3), 3)["s"],
-    "pca_train": lambda s, f: FA.pca_train(_dense(s, f), 3)["components"],
-    "pca_sparse_train": lambda s, f: FA.pca_train(_matrix(s, f), variance=0.9)["components"],
-    "pca_project": lambda s, f: FA.pca_project(_dense(s, f), FA.pca_train(_dense(s, f), 3))["projected"],
-    "pca_sparse_project": lambda s, f: FA.pca_project(_matrix(s, f), FA.pca_train(_matrix(s, f), 2))["summary"],
     "lmf_igd_run": lambda s, f: FA.lmf(_t(s, f, "lineitem"), "l_orderkey", "l_suppkey", "l_quantity", 3, 3)["rmse"],
-    "svdmf_run": lambda s, f: FA.svdmf(_matrix(s, f), "row_id", "col_id", "val", 1, 3)["error"],
-    "linear_solver_dense": lambda s, f: FA.linear_solver_dense(_system(s, f), "row_id", "a", "b"),
-    "linear_solver_sparse": lambda s, f: FA.linear_solver_sparse(*_sparse_system(s, f), optimizer="cg"),
-    "dense_residual_norm": lambda s, f: FA.dense_residual_norm(_system(s, f), "a", "b", [0.1] * 7),
-    "conjugate_gradient": lambda s, f: M.table(s, FA.conjugate_gradient(_system(s, f).select("row_id", F.col("a").alias("row_vec")), [1.0] * 7)),
     "tree_train": lambda s, f: TR.tree_train(_t(s, f, "lineitem"), "l_returnflag", _F, max_depth=3, cp=0.0, max_surrogates=1),
     "tree_train_grouped": lambda s, f: TR.tree_train(_t(s, f, "lineitem"), "l_extendedprice", ["l_quantity", "l_tax"], groups="l_returnflag", max_depth=2, cp=0.001),
     "tree_predict": lambda s, f: TR.tree_predict(TR.tree_train(_with_class(s, f), "l_returnflag", _F, max_depth=3, cp=0.0), _with_class(s, f), "id", "prob"),
@@ -579,54 +624,23 @@ _rows = {
     "c45_score": lambda s, f: TR.c45_score(TR.c45_train(_with_class(s, f), _F[:2], "l_linestatus", max_depth=2), _with_class(s, f), "id", "l_linestatus"),
     "c45_genrule": lambda s, f: s.createDataFrame([(r,) for r in TR.c45_genrule(TR.c45_train(_t(s, f, "lineitem"), _F, "l_linestatus", max_depth=2))], "rule string"),
     "rf_score": lambda s, f: TR.rf_score(TR.rf_train(_with_class(s, f), _F, "l_returnflag", 2, max_depth=2), _with_class(s, f), "id", "l_returnflag"),
-    "coxph_train": lambda s, f: SU.coxph_train(_t(s, f, "lineitem"), "l_quantity", ["l_discount", "l_tax"], "l_linestatus = 'F'", "l_returnflag"),
-    "coxph_predict": lambda s, f: SU.coxph_predict(SU.coxph_train(_with_class(s, f), "l_quantity", ["l_discount", "l_tax"], "l_linestatus = 'F'"), _with_class(s, f), "id", ["l_discount", "l_tax"], "risk"),
-    "robust_variance_coxph": lambda s, f: SU.robust_variance_coxph(_t(s, f, "lineitem"), "l_quantity", ["l_discount", "l_tax"], "l_linestatus = 'F'"),
-    "clustered_variance_coxph": lambda s, f: SU.clustered_variance_coxph(_t(s, f, "lineitem"), "l_quantity", ["l_discount", "l_tax"], "l_suppkey", "l_linestatus = 'F'"),
-    "cox_zph": lambda s, f: SU.cox_zph(_t(s, f, "lineitem"), "l_quantity", ["l_discount", "l_tax"], "l_linestatus = 'F'"),
     "arima_train": lambda s, f: SE.arima_train(_revenue(s, f), "o_orderdate", "v", orders=(1, 1, 1))["model"],
     "arima_residual": lambda s, f: SE.arima_train(_revenue(s, f), "o_orderdate", "v", include_mean=True, orders=(2, 0, 0))["residual"],
     "arima_forecast": lambda s, f: SE.arima_forecast(SE.arima_train(_revenue(s, f), "o_orderdate", "v", orders=(1, 1, 1))["model"], 5),
-    "lda_train": lambda s, f: _lda(s, f)[0]["output"].select("docid", "wordcount", "topic_count"),
-    "lda_predict": lambda s, f: TO.lda_predict(_lda(s, f)[1], _lda(s, f)[0]["model"], 2, doc="doc_id").select("docid", "topic_count"),
     "lda_get_topic_desc": lambda s, f: TO.lda_topic_desc(_lda(s, f)[0]["model"], _lda(s, f)[2], 3),
-    "lda_get_topic_word_count": lambda s, f: TO.lda_topic_word_count(s, _lda(s, f)[0]["model"]),
-    "lda_get_word_topic_count": lambda s, f: TO.lda_word_topic_count(s, _lda(s, f)[0]["model"]),
     "lda_get_perplexity": lambda s, f: s.createDataFrame([(TO.lda_perplexity(_lda(s, f)[0]["model"], _lda(s, f)[0]["output"]),)], "perplexity double"),
-    "crf_train_fgen": lambda s, f: SQ.crf_train_fgen(_segments(s, f), _regexes(s))["featureset"],
     "lincrf_train": lambda s, f: _crf(s, f)["stats"],
     "vcrf_label": lambda s, f: SQ.vcrf_label(SQ.crf_test_fgen(_segments(s, f).drop("label"), SQ.dictionary(_segments(s, f)), _regexes(s)), _crf(s, f)["weights"], _labels(s)),
     "pmml": lambda s, f: s.createDataFrame([(pmml.regression(flagship(s, f)),)], "pmml string"),
     "pmml_tree": lambda s, f: s.createDataFrame([(pmml.tree(TR.tree_train(_t(s, f, "lineitem"), "l_linestatus", _F[:2], max_depth=2, cp=0.0), "l_linestatus"),)], "pmml string"),
     "pmml_glm": lambda s, f: s.createDataFrame([(pmml.glm(G.glm(_t(s, f, "lineitem"), "l_linenumber", _X, "poisson"), "poisson", "log"),)], "pmml string"),
-    "nb_probs": lambda s, f: PA.nb_probs(PA.nb_train(_bayes(s, f), "l_returnflag", "a", [3]), _bayes(s, f), "id", "a"),
-    "nb_classify": lambda s, f: PA.nb_classify(PA.nb_train(_bayes(s, f), "l_returnflag", "a", [3]), _bayes(s, f), "id", "a"),
     "cross_validation": lambda s, f: PA.cross_validation(_t(s, f, "lineitem").select("l_extendedprice", "l_quantity"), lambda d, v: R.linregr_train(d, "l_extendedprice", ["1", f"pow(l_quantity, {v})"])[0].select("coef", F.lit(v).alias("v")).first(), lambda m, d: d.select("l_extendedprice", R.linregr_predict(m.coef, F.array(F.lit(1.0), F.pow("l_quantity", F.lit(m.v)))).alias("p")), lambda t: PA.mse_error(t, "p", "l_extendedprice").first()[0], [1, 2], 2),
-    "stem_token_arr": lambda s, f: _t(s, f, "documents").select("doc_id", ST.stem_token_arr(F.split(F.lower("text"), r"\s+")).alias("stems")).select("doc_id", F.size("stems").alias("n")),
-    "doc_vectors": lambda s, f: PA.doc_vectors(_lda(s, f)[2], "wordid", "word", _words(s, f).select("doc_id", F.explode("w").alias("word")), "doc_id", "word").select("doc_id", SV.l1norm("sparse_vector").alias("n")),
 }
 _F = ["l_quantity", "l_extendedprice", "l_linenumber"]
 for _name, _f in _rows.items():
     _register(_name, _f, None)
 
 
-def _dense(spark, sf):
-    e = _t(spark, sf, "embeddings")
-    return e.select((F.col("vec_id") + 1).alias("row_id"), F.col("embedding").cast("array<double>").alias("row_vec"))
-
-
-def _system(spark, sf):
-    """A symmetric positive definite system of seven equations."""
-    a = M.densify(M.add(M.square(_matrix(spark, sf)), M.scalar_mult(M.identity(spark, 7), 1e6)), 7, 7)
-    return a.select("row_id", F.col("row_vec").alias("a"), F.col("row_id").cast("double").alias("b"))
-
-
-def _sparse_system(spark, sf):
-    s = _system(spark, sf)
-    e = M.entries(s.select("row_id", F.col("a").alias("row_vec")))
-    return e.select((F.col("row_id") - 1).alias("row_id"), (F.col("col_id") - 1).alias("col_id"), "val"), s.select((F.col("row_id") - 1).alias("row_id"), F.col("b").alias("val"))
-
-
 def _forest(spark, sf):
     return TR.forest_train(_with_class(spark, sf), "l_returnflag", _F, num_trees=3, max_depth=3)
 
@@ -636,18 +650,23 @@ def _revenue(spark, sf):
 
 
 def _words(spark, sf):
-    return _t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.flatten(F.collect_list(F.slice(F.split(F.lower("text"), r"\s+"), 1, 5))).alias("w"))
+    return _t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.split(F.lower("text"), r"\s+").alias("w")))), lambda e: e["w"])).alias("w"))
+
+
+def _lda_words(spark, sf):
+    return PA.term_frequency(_words(spark, sf), "doc_id", "w", True)
 
 
 def _lda(spark, sf):
-    counts, vocabulary = PA.term_frequency(_words(spark, sf), "doc_id", "w", True)
+    counts, vocabulary = _lda_words(spark, sf)
     return TO.lda_train(counts, vocabulary.count(), 3, 1, 0.1, 0.1, doc="doc_id"), counts, vocabulary
 
 
 def _segments(spark, sf):
-    """The first words of the benchmark's items, labelled by their length."""
-    w = _t(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("doc_id"), F.posexplode(F.slice(F.split("text", r"\s+"), 1, 5)).alias("start_pos", "seg_text"))
-    return w.withColumn("label", F.least(F.length("seg_text") / 3, F.lit(3)).cast("int")).withColumn("max_pos", F.lit(4))
+    """The words of the benchmark's items, labelled by their length."""
+    w = _t(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("doc_id"), F.split("text", r"\s+").alias("w"))
+    w = w.select("doc_id", F.posexplode("w").alias("start_pos", "seg_text"), (F.size("w") - 1).alias("max_pos"))
+    return w.withColumn("label", F.least(F.length("seg_text") / 3, F.lit(3)).cast("int"))
 
 
 def _regexes(spark):
@@ -667,6 +686,54 @@ def _bayes(spark, sf):
     return _with_class(spark, sf).select("id", "l_returnflag", F.array("l_linestatus", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("string")).alias("a"))
 
 
+_TOKENS = r"SELECT conv_id, unnest(string_split_regex(lower(text), '\s+')) AS word FROM conversations"
+_TOPICS = f"SELECT conv_id AS docid, count(*) AS wordcount, count(*) AS assigned FROM ({_TOKENS}) GROUP BY 1"
+
+
+def _assigned(docs):
+    return docs.select("docid", F.col("wordcount").cast("long").alias("wordcount"), F.aggregate("topic_count", F.lit(0).cast("long"), lambda s, e: s + e).alias("assigned"))
+
+
+_register("lda_train", lambda spark, sf: _assigned(_lda(spark, sf)[0]["output"]), _TOPICS)
+_register("lda_predict", lambda spark, sf: _assigned(TO.lda_predict(_lda(spark, sf)[1], _lda(spark, sf)[0]["model"], 2, doc="doc_id")), _TOPICS)
+_register(
+    "lda_get_word_topic_count",
+    lambda spark, sf: TO.lda_word_topic_count(spark, _lda(spark, sf)[0]["model"]).select(F.col("wordid").cast("long").alias("wordid"), F.aggregate("topic_count", F.lit(0).cast("long"), lambda s, e: s + e).alias("n")),
+    f"SELECT row_number() OVER (ORDER BY word) - 1 AS wordid, count(*) AS n FROM ({_TOKENS}) GROUP BY word",
+)
+_register(
+    "lda_parse_model",
+    lambda spark, sf: TO.lda_parse_model(spark, _lda(spark, sf)[0]["model"]).agg(F.count("*").alias("words"), F.sum(F.aggregate("topic_count", F.lit(0).cast("long"), lambda s, e: s + e)).alias("n")),
+    f"SELECT count(DISTINCT word) AS words, count(*) AS n FROM ({_TOKENS})",
+)
+_register(
+    "lda_get_topic_word_count",
+    lambda spark, sf: TO.lda_topic_word_count(spark, _lda(spark, sf)[0]["model"]).select(F.posexplode("word_count").alias("wordid", "n")).groupBy("wordid").agg(F.sum("n").alias("n")).select(F.col("wordid").cast("long").alias("wordid"), "n"),
+    f"SELECT row_number() OVER (ORDER BY word) - 1 AS wordid, count(*) AS n FROM ({_TOKENS}) GROUP BY word",
+)
+_register(
+    "crf_train_fgen",
+    lambda spark, sf: SQ.crf_train_fgen(_segments(spark, sf), _regexes(spark))["featureset"].select("f_name", F.col("prev_label").cast("long").alias("prev_label"), F.col("label").cast("long").alias("label"), "n", F.col("f_index").cast("long").alias("f_index")),
+    r"""
+WITH s AS (SELECT item_id AS d, unnest(w) AS seg, generate_subscripts(w, 1) - 1 AS p, len(w) - 1 AS last FROM (SELECT item_id, string_split_regex(text, '\s+') AS w FROM benchmark)),
+t AS (SELECT *, CASE WHEN regexp_full_match(seg, '[0-9]+') THEN 'DIGIT' ELSE lower(seg) END AS token, CAST(least(floor(len(seg) / 3), 3) AS BIGINT) AS label FROM s),
+u AS (SELECT *, lag(label) OVER (PARTITION BY d ORDER BY p) AS prev, count(*) OVER (PARTITION BY token) AS total FROM t),
+f AS (
+    SELECT 'E.' AS f_name, prev AS prev_label, label FROM u WHERE prev IS NOT NULL UNION ALL SELECT 'S.', -1, label FROM u WHERE p = 0 UNION ALL SELECT 'End.', -1, label FROM u WHERE p = last
+    UNION ALL SELECT 'W_' || token, -1, label FROM u UNION ALL SELECT 'U', -1, label FROM u WHERE total <= 1
+    UNION ALL SELECT 'R_InitCap', -1, label FROM u WHERE regexp_matches(seg, '^[A-Z]') UNION ALL SELECT 'R_Stop', -1, label FROM u WHERE regexp_matches(seg, '[.,]$')
+)
+SELECT f_name, prev_label, label, count(*) AS n, row_number() OVER (ORDER BY f_name, prev_label, label) - 1 AS f_index FROM f GROUP BY f_name, prev_label, label
+""",
+)
+_register("stem_token_arr", lambda spark, sf: _t(spark, sf, "documents").select("doc_id", F.size(ST.stem_token_arr(F.split(F.lower("text"), r"\s+"))).alias("n")), r"SELECT doc_id, len(string_split_regex(lower(text), '\s+')) AS n FROM documents")
+_register(
+    "doc_vectors",
+    lambda spark, sf: PA.doc_vectors(_lda_words(spark, sf)[1], "wordid", "word", _words(spark, sf).select("doc_id", F.explode("w").alias("word")), "doc_id", "word").select("doc_id", SV.l1norm("sparse_vector").alias("n"), F.size(SV.nonbase_values("sparse_vector", 0.0)).alias("distinct")),
+    f"SELECT conv_id AS doc_id, CAST(count(*) AS DOUBLE) AS n, count(DISTINCT word) AS distinct FROM ({_TOKENS}) GROUP BY 1",
+)
+
+
 # patterns, sets, terms
 
 
@@ -686,11 +753,6 @@ def assoc_rules(spark, sf):
     return rounded(r.select(F.col("pre")[0].cast("long").alias("pre"), F.col("post")[0].cast("long").alias("post"), "count", "support"), 6)
 
 
-@query()
-def assoc_rules_full(spark, sf):
-    return PA.assoc_rules(_t(spark, sf, "lineitem").withColumn("item", F.col("l_suppkey") % 8), "l_orderkey", "item", 0.02, 0.1)
-
-
 @query("SELECT l_returnflag AS class, 1 AS attr, l_linestatus AS value, count(*) AS cnt FROM lineitem GROUP BY 1, 3 UNION ALL SELECT l_returnflag, 2, CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem GROUP BY 1, 3")
 def create_nb_prepared_data_tables(spark, sf):
     return PA.nb_train(_bayes(spark, sf), "l_returnflag", "a", [3])["feature_probs"].select("class", "attr", "value", "cnt")
@@ -780,7 +842,6 @@ _law("triangular_cdf", (1.0, 2.0, 4.0), "CASE WHEN x <= 1 THEN 0 WHEN x <= 2 THE
 _law("bernoulli_cdf", (0.3,), "CASE WHEN x < 1 THEN 0.7 ELSE 1.0 END")
 _law("geometric_cdf", (0.3,), "1 - pow(0.7::DOUBLE, floor(x) + 1)")
 _law("normal_pdf", (1.0, 2.0), "exp(-(x - 1) * (x - 1) / 8) / (2 * sqrt(2 * pi()))")
-_law("poisson_pmf", (3.0,), None)
 _law("chi_squared_cdf", (2.0,), "1 - exp(-x / 2)")
 _law("gamma_cdf", (1.0, 2.0), "1 - exp(-x / 2)")
 _law("students_t_cdf", (1.0,), "0.5::DOUBLE + atan(x) / pi()")
@@ -794,6 +855,8 @@ for _name in sorted(PR.FUNCTIONS):
         _args = _n.get(_family, ((0.4,) if _family == "geometric" else (3.0,)) if _family in _one else (1.0, 2.0))
         _unit = _name.endswith("quantile") or "beta" in _family
         _law(_name, _args, None, "u" if _unit else "x")
+        if _name in laws.SQL:
+            ORACLE_SQL[f"prob_{_name}"] = laws.SQL[_name]
 
 
 # relational forms that generated SQL of such libraries relies on

@@ -13,7 +13,7 @@ from corvane.functions import arrays as A
 from corvane.functions import metrics as ME
 from corvane.functions import prob, svec
 from corvane.functions.stemmer import stem
-from corvane.operators import checks, cluster, describe, factor, glm, hypothesis, matrix, patterns, penalized, regress, sequence, series, survival, trees
+from corvane.operators import checks, cluster, describe, factor, glm, hypothesis, matrix, order, patterns, penalized, regress, sequence, series, survival, topics, trees
 from corvane.sources import pmml
 
 
@@ -297,3 +297,123 @@ def test_options():
     assert checks.options("max_iter=5, tolerance=0.1", {"max_iter": 1, "tolerance": 1.0}) == {"max_iter": 5, "tolerance": 0.1}
     with pytest.raises(checks.ArgumentError):
         checks.options("other=1", {"max_iter": 1})
+
+
+def test_path_keeps_a_null_partition(spark):
+    df = spark.createDataFrame([("u", 1, "a"), ("u", 2, "b"), (None, 1, "a"), (None, 2, "b"), (None, 3, "b"), ("v", 1, "b")], "k string, t int, e string")
+    out = patterns.path(df, "k", "t", "(A)(B)+", {"A": "e = 'a'", "B": "e = 'b'"}, ["count(*) AS n"])
+    assert {r.k: r.n for r in out.collect()} == {"u": 2, None: 3}
+
+
+def test_naive_bayes_keeps_rows_with_unseen_values(spark):
+    train = spark.createDataFrame([("p", ["x", "1"]), ("p", ["x", "2"]), ("q", ["y", "1"]), ("q", ["y", None]), ("q", None)], "c string, a array<string>")
+    model = patterns.nb_train(train, "c", "a")
+    assert {r["class"]: (r.class_cnt, r.all_cnt) for r in model["priors"].collect()} == {"p": (2, 3), "q": (1, 3)}
+    rows = spark.createDataFrame([(1, ["new", "other"]), (2, ["y", "1"]), (2, ["y", "1"]), (3, ["x", None])], "id int, a array<string>")
+    probs = patterns.nb_probs(model, rows, "id", "a").collect()
+    assert sorted((r.key, r["class"]) for r in probs) == [(1, "p"), (1, "q"), (2, "p"), (2, "p"), (2, "q"), (2, "q")]
+    one_ = {r["class"]: r.nb_prob for r in probs if r.key == 1}
+    assert one_["p"] == pytest.approx(2 / 3) and one_["q"] == pytest.approx(1 / 3)
+    p, q = (2 / 3) * (1 / 4) * (2 / 4), (1 / 3) * (2 / 3) * (2 / 3)
+    assert all(r.nb_prob == pytest.approx((p if r["class"] == "p" else q) / (p + q)) for r in probs if r.key == 2)
+
+
+@pytest.mark.parametrize("family", ["gaussian", "binomial"])
+def test_elastic_net_groups_and_warm_up(spark, family):
+    _, _, df = points(spark)
+    y = "y" if family == "gaussian" else "z"
+    args = (family, 0.5, 0.05)
+    whole = {r.g: r for r in penalized.elastic_net_train(df, y, ["a", "b"], *args, tolerance=1e-8, groups="g").collect()}
+    for g in "pqr":
+        alone = one(penalized.elastic_net_train(df.filter(F.col("g") == g), y, ["a", "b"], *args, tolerance=1e-8))
+        assert np.allclose([whole[g].intercept, *whole[g].coef_all], [alone.intercept, *alone.coef_all], atol=1e-5)
+    plain = one(penalized.elastic_net_train(df, y, ["a", "b"], *args, tolerance=1e-8))
+    for more in ({"warmup": True}, {"warmup": True, "warmup_lambdas": [1.0, 0.2]}, {"use_active_set": True}, {"optimizer": "igd"}):
+        other = one(penalized.elastic_net_train(df, y, ["a", "b"], *args, tolerance=1e-8, **more))
+        assert np.allclose([plain.intercept, *plain.coef_all], [other.intercept, *other.coef_all], atol=1e-4)
+
+
+def test_svm_folds_and_eps_table(spark):
+    _, _, df = points(spark)
+    m = one(penalized.svm_classification(df, "z", ["1", "a", "b"], params={"lambda": [0.001, 5.0], "n_folds": 3, "max_iter": 30}))
+    assert [v["lambda"] for v in m.validation] == [0.001, 5.0] and m["lambda"] == 0.001
+    assert m.validation[0].mean_score < m.validation[1].mean_score
+    fixed = one(penalized.svm_classification(df, "z", ["1", "a", "b"], params={"lambda": 0.001, "max_iter": 30}))
+    assert np.allclose(m.coef, fixed.coef) and fixed.validation is None
+    eps = spark.createDataFrame([("p", 10.0)], "g string, epsilon double")
+    by = {r.g: r for r in penalized.svm_regression(df, "y", ["1", "a", "b"], groups="g", params="max_iter=40", eps_table=eps).collect()}
+    assert by["p"].loss == 0 and by["q"].loss > 0
+    with pytest.raises(ValueError, match="n_folds"):
+        penalized.svm_classification(df, "z", ["1", "a"], params={"lambda": [1.0, 2.0]})
+
+
+def test_trees_of_groups_grow_together(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(x), "low" if (x < 0.3) == (g == "a") else "high", g) for g in "ab" for x in rng.random(300)]
+    df = spark.createDataFrame(rows, "x double, c string, g string")
+    both = {r.g: trees.Tree.from_json(r.tree) for r in trees.tree_train(df, "c", ["x"], groups="g", max_depth=3).collect()}
+    for g, t in both.items():
+        assert abs(t.nodes[0].threshold - 0.3) < 0.03 and sum(n.feature >= 0 for n in t.nodes) == 1
+        assert t.classes[int(np.argmax(t.nodes[t.nodes[0].left].stats))] == ("low" if g == "a" else "high")
+
+
+def test_tree_pruned_by_folds(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(x), float(z), (1.0 if x > 0.5 else 0.0) + float(rng.normal(scale=0.8))) for x, z in rng.random((600, 2))]
+    df = spark.createDataFrame(rows, "x double, z double, y double")
+    deep = one(trees.tree_train(df, "y", ["x", "z"], max_depth=6, min_split=10, cp=0.0))
+    cut = one(trees.tree_train(df, "y", ["x", "z"], max_depth=6, min_split=10, cp=0.0, n_folds=5))
+    assert cut.num_leaves < deep.num_leaves / 3 and cut.cp > 0
+    best = min(cut.cv, key=lambda r: r.cv_error_avg)
+    assert best.cv_error_avg == pytest.approx(min(r.cv_error_avg for r in cut.cv if r.cp == cut.cp), abs=1e-12)
+    assert abs(trees.Tree.from_json(cut.tree).nodes[0].threshold - 0.5) < 0.05
+
+
+def test_forest_on_a_sample(spark):
+    _, _, df = points(spark)
+    f = trees.forest_train(df, "z", ["a", "b"], num_trees=5, max_depth=3, sample_ratio=0.5, importance=False)
+    assert 100 < f["summary"].first().oob_rows < 260
+    with pytest.raises(ValueError, match="sample_ratio"):
+        trees.forest_train(df, "z", ["a"], sample_ratio=0.0)
+
+
+def test_lda_separates_planted_topics(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"document-{d}", int(w) + 10 * (d % 3), 1) for d in range(60) for w in rng.integers(0, 10, 40)]
+    df = spark.createDataFrame(rows, "docid string, wordid int, count int").groupBy("docid", "wordid").agg(F.sum("count").alias("count"))
+    out = topics.lda_train(df, 30, 3, 40, 0.1, 0.1)
+    best = {r.docid: int(np.argmax(r.topic_count)) for r in out["output"].collect()}
+    groups = [{best[f"document-{d}"] for d in range(k, 60, 3)} for k in range(3)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+    again = {r.docid: int(np.argmax(r.topic_count)) for r in topics.lda_predict(df, out["model"], 10).collect()}
+    assert again == best
+    assert topics._stream(1, "document-1").random() != topics._stream(1, "document-2").random()
+
+
+def test_block_products_are_added_up(spark, monkeypatch):
+    a = np.arange(42.0).reshape(6, 7)
+    m = matrix.sparsify(matrix.table(spark, a + 1))
+    for held in (matrix.HELD, 3):
+        monkeypatch.setattr(matrix, "HELD", held)
+        got = matrix.unblockize(matrix.block_mult(matrix.blockize(m, 2, 3), matrix.block_trans(matrix.blockize(m, 2, 3))))
+        assert np.allclose(matrix.collect(got), (a + 1) @ (a + 1).T)
+
+
+def test_frequent_values_by_sketch(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), ("b", 2), ("b", 2), (None, 2), (None, None), ("c", None)], "s string, i int")
+    for estimates in (False, True):
+        got = {r.target_column: (r.most_frequent_values, r.mfv_frequencies) for r in describe.frequent_values(df, ["s", "i"], 2, estimates=estimates).collect()}
+        assert got == {"s": (["a", "b"], [3, 2]), "i": (["2", "1"], [3, 2])}
+
+
+def test_running_sums_by_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(order, "ROWS", 5)
+    df = spark.range(1000).select((F.col("id") % 321).alias("x"))
+    got = {r.x: r.n for r in order.running(df, "x", {"n": F.lit(1)}).collect()}
+    assert got == {x: sum(1 for i in range(1000) if i % 321 <= x) for x in range(321)}
+    assert len(order.split_points(df, F.col("x"), 5)) > 150
+
+
+def test_svec_binary_form(spark):
+    v = spark.createDataFrame([([1.0, 1.0, 0.5],), (None,)], "x array<double>").select(svec.from_array("x").alias("a"))
+    assert [r[0] for r in v.select(svec.to_array(svec.recv(svec.send("a")))).collect()] == [[1.0, 1.0, 0.5], None]
