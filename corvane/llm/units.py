@@ -88,9 +88,12 @@ def thaw(blob: bytes) -> pa.RecordBatch:
 
 
 def answered(units: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each packed unit with the list of its answers (shard, n, bits)."""
+    """Each packed unit with the list of its answers (shard, n, bits).
+
+    Answers grow with the table, so they are hashed and not broadcast, at every size; texts aren't sorted.
+    """
     lists = answers.groupBy("unit").agg(F.collect_list(F.struct("shard", "n", "bits")).alias("answers"))
-    return units.join(lists, "unit", "left")
+    return units.join(lists.hint("shuffle_hash"), "unit", "left")
 
 
 def answer_bits(shard: np.ndarray, answers: list[dict] | None) -> np.ndarray:
