@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.arrays import mix, rolled
-from corvane.llm.shared import id_type, keyed, parts, per_slice
+from corvane.llm.shared import id_type, keyed, need_skew_joins, parts, per_slice
 
 WINDOW = 16
 #: A chunk holds 512 ids on average and 8192 at most.
@@ -204,6 +204,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     A body that doesn't match its hash, or a recipe with a missing chunk, is an error. The CRC of a
     document is put together from those of its chunks, each shifted by the ids after it: no body moves.
     """
+    need_skew_joins(spark)  # a passage of very many documents is a hot chunk
     recipes = read_recipes(spark, path)
     data = spark.read.schema("kind string, hash binary, n long, body binary").parquet(f"{path}/data").filter(F.col("kind") == "chunk")
 

@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import contextlib
 import uuid
+import warnings
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources.tables import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
-
-    Where that is unset (tests, a single machine) a temporary folder takes its place and is set as
-    the checkpoint directory.
-    """
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("corvane.shared.dir", None)
-    if not conf:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        conf = tempfile.mkdtemp(prefix="corvane-")
-        atexit.register(shutil.rmtree, conf, True)
-        spark.conf.set("corvane.shared.dir", conf)
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf.rstrip("/")
+#: Paths handed out so far, while somebody wants to know.
+_MADE: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables that are made inside, at the end: what is computed from them must be written by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            drop_path(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -77,6 +79,13 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias("_row"))
 
 
+def need_skew_joins(spark: SparkSession) -> None:
+    """Warns where hot keys of a join wouldn't be split at run time: some joins here rely on that."""
+    off = [c for c in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled") if spark.conf.get(c, "true").lower() != "true"]
+    if off:
+        warnings.warn(f"{', '.join(off)} is off: a key that many rows share goes to one task", stacklevel=3)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.arrays import Words, mix, ranges, words
 from corvane.llm.components import components
-from corvane.llm.shared import id_type, parts, per_slice, written
+from corvane.llm.shared import id_type, need_skew_joins, parts, per_slice, written
 
 LIMIT = 4096
 #: Text that is held in expanded form at once.
@@ -382,6 +382,7 @@ def near_components(docs: DataFrame, size: int = 3, radius: int = 3, lanes: int
     never count as least (a component of null ids alone has none); repeated rows appear each; other
     columns are ignored; an empty table gives an empty one.
     """
+    need_skew_joins(docs.sparkSession)
     names = [f"f{k}" for k in range(lanes)]
     found = written(fingerprints(docs, size, lanes, id_col, text_col, similarity is not None), "fingerprints")
     nodes = written(found.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
