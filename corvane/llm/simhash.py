@@ -4,9 +4,12 @@ A fingerprint lane has 64 bits. To find all pairs within `radius` bits, each bit
 radius + 1 bits, and there is a table for each non-zero vector v: its mask has the bits whose vector
 has an odd product with v. Any `radius` vectors leave some v orthogonal to all of them; that
 table's mask avoids all bits in which two such fingerprints differ, so they meet in it. With several
-lanes, each lane has its own tables, and pairs that meet are held against all lanes. With a similarity the
-tables only propose: their masks are cut to few bits, so that pairs further apart meet too, the bits of all
-lanes sort out most others, and the Jaccard similarity of the shingle sets themselves decides.
+lanes, each lane has its own tables, and pairs that meet are held against all lanes.
+
+With a similarity, pairs as far apart as that would need tables without end, or lose some. So the shingles
+propose: in an order that all texts share, a text's first shingles, all but the share that a similar text must
+have and one more, hold a shingle of each similar text's first ones. The bits of all lanes then sort out texts far below the similarity,
+and the Jaccard similarity of the shingle sets themselves decides.
 
 Only distinct fingerprints enter the tables. A bucket of more than `LIMIT` of them is split by the same
 construction over its other bits, and at last into pairs of blocks; so no task holds more than two blocks.
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.arrays import Words, mix, ranges, words
+from corvane.llm.arrays import Words, flat, mix, ranges, words
 from corvane.llm.components import components
 from corvane.llm.shared import id_type, need_skew_joins, parts, per_slice, written
 
@@ -31,6 +34,10 @@ LIMIT = 4096
 #: Text that is held in expanded form at once.
 SLICE = 3 << 20
 LEVELS = 3
+#: One of so many texts is looked at for frequent shingles; how often a shingle must be found there, and how many are kept.
+SAMPLE = 64
+FREQUENT = 16
+MOST = 1 << 17
 
 _SPREAD = np.array([sum(1 << (8 * j) for j in range(8) if i >> j & 1) for i in range(256)], np.uint64)
 
@@ -84,21 +91,62 @@ def distinct(hashes: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[at], both.astype(np.uint32), np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(each))
 
 
-def fingerprints(docs: DataFrame, size: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", with_sets: bool = False) -> DataFrame:
-    """(doc_id, f0, f1, ...): 64-bit fingerprints of each text, as signed integers; if `with_sets`, of its distinct shingles, with these as `shingles`."""
+def prefixes(hashes: np.ndarray, each: np.ndarray, similarity: float, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text's distinct hashes the first ones, and their number: two texts of Jaccard `similarity` have one of them in common.
+
+    Of n hashes a similar text has `similarity` * n or more, so not all of them lie behind the first ones. The order must be
+    the same for all texts, else it is free: that of `distinct`, but those among `late` (sorted) come last.
+    """
+    n = np.where(each > 0, each - np.ceil(similarity * each - 1e-9).astype(np.int64) + 1, 0)
+    if len(late) and len(hashes):
+        behind = late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes
+        hashes = hashes[np.lexsort((behind, np.repeat(np.arange(len(each)), each)))]
+    return hashes[ranges(np.cumsum(each) - each, n)], n
+
+
+def frequent(rows: DataFrame, size: int) -> np.ndarray:
+    """Hashes of shingles that many texts (doc_id, text) share, from a sample, sorted. Which these are plays no part in results: first shingles go into smaller buckets without them."""
+
+    def run(batch):
+        h, each = shingle_hashes(words(batch.column("text"), lower=True), size)
+        value, n = np.unique(distinct(h, each)[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["hash", "n"])
+
+    sample = rows.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    found = per_slice(sample, run, "hash long, n long", limit=SLICE).groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    most = found.orderBy(F.desc("n"), "hash").limit(MOST).collect()
+    return np.sort(np.array([r.hash for r in most], np.int64).view(np.uint64))
+
+
+def _binary(values: np.ndarray, each: np.ndarray) -> pa.Array:
+    """Each text's values as one binary."""
+    offsets = np.concatenate(([0], np.cumsum(values.itemsize * each))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def fingerprints(docs: DataFrame, size: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """(doc_id, f0, f1, ...): 64-bit fingerprints of each text, as signed integers.
+
+    With `similarity` they are of its distinct shingles; these follow as `shingles`, a 64-bit digest of their set as `node`, and the
+    first ones (see `prefixes`) as `prefix`.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    names = ["doc_id", *[f"f{k}" for k in range(lanes)], *(["shingles", "node", "prefix"] if similarity is not None else [])]
+    late = docs.sparkSession.sparkContext.broadcast(frequent(rows, size)) if similarity is not None else None
 
     def run(batch):
         h, each = shingle_hashes(words(batch.column("text"), lower=True), size)
-        if with_sets:
+        if late is not None:
             h, data, each = distinct(h, each)
         found = [pa.array(majority(h if k == 0 else mix(h + np.uint64(k)), each).view(np.int64)) for k in range(lanes)]
-        if with_sets:
-            offsets = np.concatenate(([0], np.cumsum(4 * each))).astype(np.int32)
-            found.append(pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], names=["doc_id", *[f"f{k}" for k in range(lanes)], *["shingles"] * with_sets])
+        if late is not None:
+            sums = np.append(np.zeros(1, np.uint64), np.cumsum(mix(h)))
+            ends = np.cumsum(each)
+            found += [_binary(data, each), pa.array((sums[ends] - sums[ends - each]).view(np.int64)), _binary(*prefixes(h, each, similarity, late.value))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], names=names)
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return per_slice(rows, run, f"doc_id {id_type(docs, id_col)}, " + ", ".join(f"f{k} long" for k in range(lanes)) + ", shingles binary" * with_sets, limit=SLICE)
+    kinds = ", ".join(f"f{k} long" for k in range(lanes)) + ", shingles binary, node long, prefix binary" * (similarity is not None)
+    return per_slice(rows, run, f"doc_id {id_type(docs, id_col)}, {kinds}", limit=SLICE)
 
 
 def masks(radius: int, level: int = 0) -> list[int]:
@@ -113,16 +161,6 @@ def masks(radius: int, level: int = 0) -> list[int]:
     return out
 
 
-def cut_masks(radius: int, level: int, bits: int) -> list[int]:
-    """The masks, each cut to at most `bits` of its bits: whatever meets by a mask meets by its part."""
-    rng, out = np.random.default_rng(1000 + level), []
-    for mask in masks(radius, level):
-        mine = [i for i in range(64) if mask >> i & 1]
-        part = sum(1 << i for i in rng.permutation(mine)[:bits].tolist())
-        out.append(part - (1 << 64) if part >= 1 << 63 else part)
-    return out
-
-
 def _spread(rows: DataFrame, lanes: int, radius: int, level: int) -> DataFrame:
     """Each row once for each table: (lane, mask, bucket, node, f...)."""
     names = ["node", *[f"f{k}" for k in range(lanes)]]
@@ -199,9 +237,9 @@ def _links(rows: DataFrame, lanes: int, limit: int) -> DataFrame:
     return ordered.mapInArrow(each, "a long, b long")
 
 
-def _met(nodes: DataFrame, lanes: int, radius: int, counts: bool, bits: int = 64) -> DataFrame:
+def _met(nodes: DataFrame, lanes: int, radius: int, counts: bool) -> DataFrame:
     """(bucket, node) of each node in each table of each lane; or (bucket, n) of those that a batch holds twice or more."""
-    tables = [np.array(cut_masks(radius, k, bits), np.int64).view(np.uint64) for k in range(lanes)]
+    tables = [np.array(masks(radius, k), np.int64).view(np.uint64) for k in range(lanes)]
 
     def each(batches):
         for batch in batches:
@@ -223,10 +261,16 @@ def _met(nodes: DataFrame, lanes: int, radius: int, counts: bool, bits: int = 64
 
 
 def _shared_groups(rows: DataFrame) -> DataFrame:
-    """(bucket, node) of buckets with two nodes or more; buckets with the same nodes become one."""
+    """(bucket, node) of buckets with two nodes or more, repeated rows once; buckets with the same nodes become one."""
 
     def each(batches):
         for (bucket, node), begins, sizes in _buckets(batches, ["bucket", "node"]):
+            if not len(begins):
+                continue
+            bucket, node = bucket[: sizes.sum()], node[: sizes.sum()]
+            new = np.append(True, (node[1:] != node[:-1]) | (bucket[1:] != bucket[:-1]))
+            node, sizes = node[new], np.add.reduceat(new.astype(np.int64), begins)
+            begins = np.cumsum(sizes) - sizes
             begins, sizes = begins[sizes > 1], sizes[sizes > 1]
             if not len(begins):
                 continue
@@ -236,7 +280,7 @@ def _shared_groups(rows: DataFrame) -> DataFrame:
             flat = ranges(begins[new], sizes[new])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sums, sizes[new])), pa.array(node[flat])], names=["bucket", "node"])
 
-    ordered = rows.repartition(parts(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    ordered = rows.repartition(parts(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
     return ordered.mapInArrow(each, "bucket long, node long").distinct()
 
 
@@ -250,19 +294,35 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return made.select(*rows.columns)
 
 
-def _meetings(nodes: DataFrame, lanes: int, radius: int, bits: int = 64) -> DataFrame:
-    """(bucket, node, f0, ...) of nodes that meet. Buckets carry node numbers alone; fingerprints are joined to those that meet.
+def _meetings(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(bucket, node) of groups of nodes that meet in a bucket of `rows` (bucket, node); `counts` (bucket, n) are of those that a batch holds twice or more.
 
     A bucket that two or more nodes of some batches share, LIMIT of them in all, is taken apart beforehand, so
     that another bucket has at most LIMIT nodes and one for each batch.
     """
-    rows = _met(nodes, lanes, radius, False, bits)
-    hot = written(_met(nodes, lanes, radius, True, bits).groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > LIMIT).select("bucket"), "hot")
+    hot = written(counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > LIMIT).select("bucket"), "hot")
     if hot.isEmpty():
         groups = _shared_groups(rows)
     else:
-        groups = _shared_groups(rows.join(hot, "bucket", "left_anti")).union(_block_pairs(rows.join(hot, "bucket", "left_semi").select("bucket", "node")))
-    return written(groups, "groups").join(nodes, "node")
+        groups = _shared_groups(rows.join(hot, "bucket", "left_anti")).union(_block_pairs(rows.join(hot, "bucket", "left_semi").select("bucket", "node").distinct()))
+    return written(groups, "groups")
+
+
+def _first_shingles(found: DataFrame, counts: bool) -> DataFrame:
+    """(bucket, node) of each node and each of its first shingles; or (bucket, n) of those that a batch holds twice or more. A batch counts equal nodes once."""
+
+    def each(batches):
+        for batch in batches:
+            node, at = np.unique(batch.column("node").to_numpy(), return_index=True)
+            raw, ends = flat(batch.column("prefix").take(pa.array(at)))
+            bucket = raw.view(np.int64) if len(raw) else np.empty(0, np.int64)
+            if counts:
+                value, n = np.unique(bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value[n > 1]), pa.array(n[n > 1])], names=["bucket", "n"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.repeat(node, np.diff(ends) // 8))], names=["bucket", "node"])
+
+    return found.select("node", "prefix").mapInArrow(each, "bucket long, n long" if counts else "bucket long, node long")
 
 
 def _near_groups(rows: DataFrame, lanes: int, limit: int) -> DataFrame:
@@ -331,26 +391,41 @@ def _alike_links(groups: DataFrame, shingles: DataFrame, similarity: float) -> D
     return ordered.mapInArrow(each, "a long, b long")
 
 
-def similar_links(found: DataFrame, nodes: DataFrame, lanes: int, radius: int, similarity: float) -> DataFrame:
-    """Links (a, b) between nodes (node, f0, ...) of Jaccard `similarity` or more, of those that the tables propose.
+def differing(similarity: float) -> float:
+    """The largest expected share of bits in which fingerprints of two shingle sets of Jaccard `similarity` or more differ.
 
-    A table's key has 4 bits more than numbers need, 20 at least: so few meet by chance, whatever the corpus. The
-    limit of bits is 4 standard deviations over what is expected at `similarity`.
+    Of large sets it is that of the angle between them. Of small ones, where ties count as zero, it is more: sizes up to 40 are gone through.
     """
-    n, share = 64 * lanes, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    limit = math.floor(n * share + 4 * math.sqrt(n * share * (1 - share)))
-    bits = max(20, nodes.count().bit_length() + 4)
-    groups = written(_near_groups(_meetings(nodes, lanes, radius, bits), lanes, limit), "near")
-    names = [f"f{k}" for k in range(lanes)]
-    mine = nodes.join(groups.select("node").distinct(), "node").hint("shuffle_hash")
-    shingles = found.select(*names, "shingles").join(mine, names).groupBy("node").agg(F.min("shingles").alias("shingles"))
+    most = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    chance = lambda n: np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
+    for a in range(1, 41):
+        for b in range(a, int(a / similarity + 1e-9) + 1):
+            both = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            if both <= a:
+                set_ = [np.array([own[max(n // 2 + 1 - k, 0) :].sum() for k in range(both + 1)]) for n in (a, b) for own in (chance(n - both),)]
+                most = max(most, float((chance(both) * (set_[0] * (1 - set_[1]) + set_[1] * (1 - set_[0]))).sum()))
+    return most
+
+
+def similar_links(found: DataFrame, nodes: DataFrame, lanes: int, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes (node, f0, ...): all of Jaccard `similarity` or more, directly or over others.
+
+    Nodes that share one of their first shingles are held against each other by their bits, with a limit 9 standard deviations
+    over the most that is expected at `similarity` (lost beyond: under 1e-13 with 8 lanes), and then by their sets.
+    """
+    n, share = 64 * lanes, differing(similarity)
+    limit = math.floor(n * share + 9 * math.sqrt(n * share * (1 - share)))
+    met = _meetings(_first_shingles(found, False), _first_shingles(found, True))
+    groups = written(_near_groups(met.join(nodes, "node"), lanes, limit), "near")
+    mine = groups.select("node").distinct().hint("shuffle_hash")
+    shingles = found.select("node", "shingles").join(mine, "node").groupBy("node").agg(F.min("shingles").alias("shingles"))
     return _alike_links(groups, written(shingles, "shingles"), similarity)
 
 
 def near_links(nodes: DataFrame, lanes: int, radius: int, limit: int) -> DataFrame:
     """Links (a, b) between nodes (node, f0, ...) that meet in a table and differ in at most `limit` bits of all lanes."""
     if lanes > 1:
-        return _links(_meetings(nodes, lanes, radius), lanes, limit)
+        return _links(_meetings(_met(nodes, lanes, radius, False), _met(nodes, lanes, radius, True)).join(nodes, "node"), lanes, limit)
     rows, found = _spread(nodes, lanes, radius, 0), []
     for level in range(1, LEVELS + 1):
         hot = written(rows.groupBy("bucket").count().filter(F.col("count") > LIMIT), "hot")
@@ -374,9 +449,9 @@ def near_components(docs: DataFrame, size: int = 3, radius: int = 3, lanes: int
     """One row for each document: doc_id, fingerprint (16 hex digits, of the first lane), component_id.
 
     Texts are lower-cased (A-Z) and cut into shingles of `size` words, repeats included unless `similarity` is given. With one lane
-    all pairs of fingerprints within `radius` bits are linked. With `similarity`, pairs that meet in a table of
-    some lane are linked if their sets of shingles have a Jaccard similarity of `similarity` or more; texts
-    whose fingerprints agree in all lanes count as one. component_id is the least doc_id reachable over links, its own included.
+    all pairs of fingerprints within `radius` bits are linked. With `similarity`, all pairs whose sets of shingles have a
+    Jaccard similarity of `similarity` or more are linked, whatever the number of documents, and `radius` plays no part; texts
+    with the same set count as one. component_id is the least doc_id reachable over links, its own included.
 
     A null or empty text has fingerprint zero and is linked like any other. Null ids stay null and
     never count as least (a component of null ids alone has none); repeated rows appear each; other
@@ -384,12 +459,18 @@ def near_components(docs: DataFrame, size: int = 3, radius: int = 3, lanes: int
     """
     need_skew_joins(docs.sparkSession)
     names = [f"f{k}" for k in range(lanes)]
-    found = written(fingerprints(docs, size, lanes, id_col, text_col, similarity is not None), "fingerprints")
-    nodes = written(found.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bare = nodes.select("node", *names)
-    label = components(near_links(bare, lanes, radius, radius) if similarity is None else similar_links(found, bare, lanes, radius, similarity))
+    found = written(fingerprints(docs, size, lanes, id_col, text_col, similarity), "fingerprints")
+    if similarity is None:
+        key = names
+        nodes = written(found.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+        links = near_links(nodes.select("node", *names), lanes, radius, radius)
+    else:
+        key = ["node"]
+        nodes = written(found.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in names]), "nodes")
+        links = similar_links(found, nodes.select("node", *names), lanes, similarity)
+    label = components(links)
     joined = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_print = written(joined.join(least, "label").select(*names, "component_id"), "classes")
-    out = found.drop("shingles").join(by_print, names)
+    by_print = written(joined.join(least, "label").select(*key, "component_id"), "classes")
+    out = found.select("doc_id", *{"f0": 0, **dict.fromkeys(key)}).join(by_print, key)
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

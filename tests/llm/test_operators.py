@@ -608,6 +608,51 @@ def test_lanes_find_pairs_near_the_similarity(spark, tmp_path):
     assert all(got[2 * k + 1] == 2 * k + 1 for k in range(80, 160))
 
 
+def test_lanes_link_all_pairs_of_the_similarity(spark, tmp_path, monkeypatch):
+    """Against brute force: short texts, where bits differ more, families with a phrase in common, copies; whatever the limits on buckets and the number of rows."""
+    rng = random.Random(31)
+    fresh = lambda n: [str(rng.randrange(10**6)) for _ in range(n)]
+    rows = []
+    for _ in range(150):  # 4 of 5 shingles in common
+        w = fresh(9)
+        rows += [" ".join(w), " ".join(w[:8])]
+    phrase = fresh(30)
+    for k in range(40):  # at, above and below 0.8
+        w = phrase + fresh(10 + 6 * k)
+        for _ in range(3):
+            v = list(w)
+            a = rng.randrange(30, len(v))
+            v[a : a + rng.randrange(1, 2 + len(v) // 8)] = fresh(rng.randrange(3))
+            rows += [" ".join(w), " ".join(v)]
+    rows += [" ".join(phrase), None, "", "one two"]
+    sets = [five_word_sets(t) for t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 10 * len(a & sets[j]) >= 8 * len(a | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    expected = {i: find(i) for i in range(len(rows))}
+    assert 300 < sum(i != c for i, c in expected.items())
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    for limit, sample in ((4096, 64), (8, 64), (8, 1)):
+        monkeypatch.setattr(simhash, "LIMIT", limit)
+        monkeypatch.setattr(simhash, "SAMPLE", sample)
+        assert {r.doc_id: r.component_id for r in simhash.near_components(docs, 5, 4, 8, 0.8).collect()} == expected
+    monkeypatch.undo()
+    noise = spark.range(10**6, 10**6 + 40000).selectExpr("id AS doc_id", "concat_ws(' ', id, id * 7, id * 11) AS text")
+    noise.write.parquet(str(tmp_path / "n.parquet"))
+    many = spark.read.parquet(path, str(tmp_path / "n.parquet"))
+    assert {r.doc_id: r.component_id for r in simhash.near_components(many, 5, 4, 8, 0.8).filter("doc_id < 1000000").collect()} == expected
+
+
 def test_lanes_take_shingles_as_sets(spark, tmp_path):
     """A copy with one line added forty times has nearly the same set of shingles."""
     rng = random.Random(12)
