@@ -370,6 +370,19 @@ def test_quality_model_is_a_distribution():
         assert abs(scorer.of(key).sum() - 1) < 1e-9
 
 
+def test_quality_model_is_sorted_by_hashes():
+    """Each order is an array of 64-bit hashes in ascending order, without collisions between n-grams or orders."""
+    raw, at = arrays.flat(pa.array(["abracadabra arcane banana", "cabana nada", "é"]))
+    keys, counts = quality._counted(quality.ngram_keys(raw, at), raw)
+    model = quality.fit(keys, counts)
+    for name, order in (("one", 1), ("two", 2), ("three", 3)):
+        grams = np.unique(keys & ((1 << 8 * order) - 1))
+        assert model[name].dtype == np.uint64 and (model[name][1:] > model[name][:-1]).all()
+        assert set(model[name].tolist()) == set(quality.hashed(grams, order).tolist()) and len(model[name]) == len(grams)
+        assert len(quality.hashed(np.arange(1 << 16), order)) == len(np.unique(quality.hashed(np.arange(1 << 16), order)))
+    assert not set(model["one"].tolist()) & set(model["two"].tolist()) | set(model["two"].tolist()) & set(model["three"].tolist())
+
+
 def brute_scores(docs):
     """Mean negative log-probability a byte by a modified Kneser-Ney model of order 3 for each language, from its definition."""
     counts = {}
