@@ -417,3 +417,9 @@ def test_running_sums_by_many_ranges(spark, monkeypatch):
 def test_svec_binary_form(spark):
     v = spark.createDataFrame([([1.0, 1.0, 0.5],), (None,)], "x array<double>").select(svec.from_array("x").alias("a"))
     assert [r[0] for r in v.select(svec.to_array(svec.recv(svec.send("a")))).collect()] == [[1.0, 1.0, 0.5], None]
+
+
+def test_vectors_cost_their_entries_only(spark):
+    df = spark.createDataFrame([([7, 2_000_000_000, 8], [1.0, 2.0, 1.0])], "p array<long>, v array<double>").select(svec.from_positions("p", "v", 2_000_000_000).alias("s"))
+    r = one(df.select("s", svec.nonbase_values("s").alias("v")))
+    assert (r.s.n, r.s.v, r.v) == ([6, 2, 1_999_999_991, 1], [0.0, 1.0, 0.0, 2.0], [1.0, 1.0, 2.0])
