@@ -83,7 +83,7 @@ def chi2_independence(df: DataFrame, row: str, column: str) -> DataFrame:
     cells = df.groupBy(row, column).count().filter(f"`{row}` IS NOT NULL AND `{column}` IS NOT NULL")
     rows, columns = cells.groupBy(row).agg(F.sum("count").alias("r")), cells.groupBy(column).agg(F.sum("count").alias("c"))
     shape = cells.agg(F.sum("count").alias("n"), F.countDistinct(row).alias("nr"), F.countDistinct(column).alias("nc"))
-    joined = cells.join(rows, row).join(columns, column).agg(F.sum(F.col("count") * F.col("count") / (F.col("r") * F.col("c"))).alias("s")).crossJoin(F.broadcast(shape))  # one row by one row
+    joined = cells.join(rows, row).join(columns, column).agg(F.sum(F.col("count") / F.col("r") * (F.col("count") / F.col("c"))).alias("s")).crossJoin(F.broadcast(shape))  # one row by one row
     out = joined.select((F.col("n") * (F.col("s") - 1)).alias("statistic"), ((F.col("nr") - 1) * (F.col("nc") - 1)).alias("df"))
     return out.withColumn("p_value", 1 - _chi2(F.greatest("statistic", F.lit(0.0)), F.col("df").cast("double")))
 
@@ -99,7 +99,7 @@ def ks_test(df: DataFrame, first, value, groups=None) -> DataFrame:
     joined = sums.join(totals, groups) if groups else sums.crossJoin(F.broadcast(totals))  # one row
     gap = F.max(F.abs(F.col("ra") / F.col("n") - F.col("rb") / F.col("m")))
     out = joined.groupBy(*groups).agg(gap.alias("statistic"), F.first("n").alias("n"), F.first("m").alias("m"))
-    root = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
+    root = F.sqrt(F.col("n") / (F.col("n") + F.col("m")) * F.col("m"))
     out = out.withColumn("k_statistic", (root + 0.12 + 0.11 / root) * F.col("statistic"))
     return out.select(*groups, "statistic", "k_statistic", (1 - _ks(F.col("k_statistic"))).alias("p_value"))
 
@@ -117,7 +117,7 @@ def mw_test(df: DataFrame, first, value, groups=None) -> DataFrame:
     sums = running(counts, "x", {"up": F.col("t")}, groups)
     rank = F.col("up") - (F.col("t") - 1) / 2
     made = sums.groupBy(*groups).agg(F.sum(rank * F.col("a")).alias("r1"), F.sum("a").alias("n"), F.sum(F.col("t") - F.col("a")).alias("m"))
-    n, m = F.col("n"), F.col("m")
+    n, m = F.col("n").cast("double"), F.col("m").cast("double")  # n m (n + m + 1) of some millions of rows is beyond a long
     u1 = n * m + n * (n + 1) / 2 - F.col("r1")
     u2 = n * m - u1
     z = (u2 - n * m / 2) / F.sqrt(n * m * (n + m + 1) / 12)
@@ -136,9 +136,9 @@ def wsr_test(df: DataFrame, value, groups=None) -> DataFrame:
         F.sum(rank * F.col("a")).alias("rank_sum_pos"),
         F.sum(rank * (F.col("t") - F.col("a"))).alias("rank_sum_neg"),
         F.sum("t").alias("num"),
-        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"),
+        F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"),
     )
-    n = F.col("num")
+    n = F.col("num").cast("double")
     z = (F.col("rank_sum_pos") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     out = made.select(*groups, F.least("rank_sum_pos", "rank_sum_neg").alias("statistic_w"), "rank_sum_pos", "rank_sum_neg", "num", z.alias("statistic"))
     return _normal_tails(out).withColumnRenamed("statistic", "z_statistic").withColumnRenamed("statistic_w", "statistic")

@@ -423,3 +423,21 @@ def test_vectors_cost_their_entries_only(spark):
     df = spark.createDataFrame([([7, 2_000_000_000, 8], [1.0, 2.0, 1.0])], "p array<long>, v array<double>").select(svec.from_positions("p", "v", 2_000_000_000).alias("s"))
     r = one(df.select("s", svec.nonbase_values("s").alias("v")))
     assert (r.s.n, r.s.v, r.v) == ([6, 2, 1_999_999_991, 1], [0.0, 1.0, 0.0, 2.0], [1.0, 1.0, 2.0])
+
+
+def test_rank_tests_of_millions_of_rows(spark):
+    df = spark.range(4_000_000).select((F.col("id") % 2 == 0).alias("a"), F.when(F.col("id") % 4 < 3, 1.0).otherwise(-1.0).alias("x"))
+    r = one(hypothesis.mw_test(df, "a", "x"))
+    assert r.u_statistic == 1e12 and abs(r.statistic) == pytest.approx(1e12 / math.sqrt(4e12 * (4e6 + 1) / 12))
+    w = one(hypothesis.wsr_test(df, "x"))
+    assert w.num == 4_000_000 and w.rank_sum_pos == 3e6 * (4e6 + 1) / 2
+    assert w.z_statistic == pytest.approx((w.rank_sum_pos - 4e6 * (4e6 + 1) / 4) / math.sqrt(4e6 * (4e6 + 1) * (8e6 + 1) / 24 - (4e6**3 - 4e6) / 48))
+
+
+def test_ranges_by_search(spark):
+    x = [None, float("-inf"), -1.0, -0.0, 0.0, 0.5, 1.0, 7.0, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    got = [r.k for r in order.placed(df, F.col("x"), [0.0, 1.0, float("inf")], "k").collect()]
+    assert got[:9] == [0, 0, 0, 1, 1, 1, 2, 2, 2] and got[9] >= 2
+    sums = {str(r.x): r.n for r in order.running(df.withColumn("i", F.lit(1)), "x", {"n": F.col("i")}).collect()}
+    assert sums == {"None": 1, "-inf": 2, "-1.0": 3, "-0.0": 5, "0.0": 5, "0.5": 6, "1.0": 7, "7.0": 8, "inf": 9, "nan": 10}
