@@ -441,3 +441,43 @@ def test_ranges_by_search(spark):
     assert got[:9] == [0, 0, 0, 1, 1, 1, 2, 2, 2] and got[9] >= 2
     sums = {str(r.x): r.n for r in order.running(df.withColumn("i", F.lit(1)), "x", {"n": F.col("i")}).collect()}
     assert sums == {"None": 1, "-inf": 2, "-1.0": 3, "-0.0": 5, "0.0": 5, "0.5": 6, "1.0": 7, "7.0": 8, "inf": 9, "nan": 10}
+
+
+@pytest.mark.parametrize("cells", [64, 1 << 19])
+def test_cox_ranges_of_a_single_time(spark, monkeypatch, cells):
+    """Crowded times never go to Python as one group, and all ways of adding up give the same model."""
+    monkeypatch.setattr(survival, "RANGE_CELLS", cells)
+    rng = np.random.default_rng(5)
+    n = 240
+    x = rng.normal(size=(n, 2))
+    t = np.round(rng.exponential(np.exp(-x[:, 0])), 1)
+    d, s, c = rng.random(n) < 0.6, rng.integers(0, 2, n), rng.integers(0, 20, n)
+    df = spark.createDataFrame([(float(a), float(p), float(q), bool(e), int(g), int(h)) for a, (p, q), e, g, h in zip(t, x, d, s, c)], "t double, a double, b double, d boolean, s int, c int")
+    ranges = survival._ranged(df, "t", ["a", "b"], "d", [])
+    others = ranges.others().groupBy("_r").count().agg(F.max("count")).first()[0]
+    assert bool(ranges.single) == (cells == 64) and (cells > 64 or others <= 32)
+    b, se = brute_cox(t, x, d)
+    m = one(survival.coxph_train(df, "t", ["a", "b"], "d", None, "tolerance=1e-14"))
+    assert np.allclose(m.coef, b, atol=1e-7) and np.allclose(m.std_err, se, atol=1e-7)
+    monkeypatch.setattr(survival, "PLAIN", 0)
+    assert np.allclose(one(survival.coxph_train(df, "t", ["a", "b"], "d", None, "tolerance=1e-14")).coef, b, atol=1e-7)
+    e = np.exp(x @ b)
+    u, residuals = np.zeros((n, 2)), []
+    for i in np.flatnonzero(d):
+        risk = t >= t[i]
+        mean = e[risk] @ x[risk] / e[risk].sum()
+        u[risk] -= (e[risk] / e[risk].sum())[:, None] * (x[risk] - mean)
+        u[i] += x[i] - mean
+        residuals.append((t[i], x[i] - mean))
+    inv = np.linalg.inv(np.array(m.hessian))
+    for cluster, v in (None, u), ("c", np.array([u[c == g].sum(0) for g in range(20)])):
+        r = one(survival.robust_variance_coxph(df, "t", ["a", "b"], "d", cluster=cluster, optimizer_params="tolerance=1e-14"))
+        assert np.allclose(r.robust_se, np.sqrt(np.diag(inv @ v.T @ v @ inv)), atol=1e-6)
+    times = np.array([a for a, _ in residuals])
+    rank = np.array([(times < a).sum() + ((times == a).sum() + 1) / 2 for a in times])
+    scaled = np.array([v for _, v in residuals]) @ inv
+    got = [r.rho for r in survival.cox_zph(df, "t", ["a", "b"], "d", None, "tolerance=1e-14").orderBy("covariate").collect()]
+    assert np.allclose(got, [np.corrcoef(scaled[:, i], rank)[0, 1] for i in (0, 1)], atol=1e-6)
+    split = survival.coxph_train(df, "t", ["a", "b"], "d", "s", "tolerance=1e-14").first().coef
+    monkeypatch.setattr(survival, "RANGE_CELLS", 1 << 22)
+    assert np.allclose(split, survival.coxph_train(df, "t", ["a", "b"], "d", "s", "tolerance=1e-14").first().coef, atol=1e-9)
