@@ -481,3 +481,26 @@ def test_cox_ranges_of_a_single_time(spark, monkeypatch, cells):
     split = survival.coxph_train(df, "t", ["a", "b"], "d", "s", "tolerance=1e-14").first().coef
     monkeypatch.setattr(survival, "RANGE_CELLS", 1 << 22)
     assert np.allclose(split, survival.coxph_train(df, "t", ["a", "b"], "d", "s", "tolerance=1e-14").first().coef, atol=1e-9)
+
+
+def test_lda_by_chunks(spark, monkeypatch):
+    """A task gets the counts of its chunk's words only; words, counts and topics fit together, the perplexity is that of the model."""
+    monkeypatch.setattr(topics, "CHUNK", 50)
+    rng = np.random.default_rng(4)
+    rows = [(d, int(w), 1 + d % 2) for d in range(40) for w in sorted(set(rng.integers(0, 500, 12)))]
+    df = spark.createDataFrame(rows, "docid int, wordid int, count int")
+    out = topics.lda_train(df, 500, 3, 14, 0.1, 0.1)
+    got = out["output"].collect()
+    table = np.zeros((500, 3), int)
+    for r in got:
+        np.add.at(table, (r.words, r.topic_assignment), 1)
+    assert (table == out["model"]["counts"]).all() and table.sum() == sum(n for *_, n in rows) and len(got) == 40
+    chunks = topics._chunked(topics._prepared(df, 3, 0, "docid", "wordid", "count")).groupBy("chunk").agg(F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("n"))
+    assert chunks.agg(F.max("n")).first()[0] < 250
+    phi = (table + 0.1) / (table.sum(0) + 50)
+    ll = sum(np.log(phi[r.words] @ ((np.array(r.topic_count) + 0.1) / (len(r.words) + 0.3))).sum() for r in got)
+    assert topics.lda_perplexity(**out) == pytest.approx(np.exp(-ll / table.sum()))
+    vocabulary = spark.createDataFrame([(i, f"w{i}") for i in range(500)], "wordid int, word string")
+    top = {(r.topicid, r.wordid): r.prob for r in topics.lda_topic_desc(out["model"], vocabulary, 2).collect()}
+    assert all(p == pytest.approx(phi[w, k]) and (phi[:, k] > phi[w, k] + 1e-12).sum() < 2 for (k, w), p in top.items())
+    assert {r.topicid: r.word_count for r in topics.lda_topic_word_count(spark, out["model"]).collect()} == {k: table[:, k].tolist() for k in range(3)}
