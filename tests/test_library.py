@@ -6,12 +6,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import arrays as A
 from corvane.functions import metrics as ME
-from corvane.functions import prob, svec
+from corvane.functions import prob, stemmer, svec
 from corvane.functions.stemmer import stem
 from corvane.operators import checks, cluster, describe, factor, glm, hypothesis, matrix, order, patterns, penalized, regress, sequence, series, survival, topics, trees
 from corvane.sources import pmml
@@ -504,3 +505,17 @@ def test_lda_by_chunks(spark, monkeypatch):
     top = {(r.topicid, r.wordid): r.prob for r in topics.lda_topic_desc(out["model"], vocabulary, 2).collect()}
     assert all(p == pytest.approx(phi[w, k]) and (phi[:, k] > phi[w, k] + 1e-12).sum() < 2 for (k, w), p in top.items())
     assert {r.topicid: r.word_count for r in topics.lda_topic_word_count(spark, out["model"]).collect()} == {k: table[:, k].tolist() for k in range(3)}
+
+
+def test_stems_of_arrays(spark, monkeypatch):
+    """Each distinct word of a piece is stemmed once; nulls and empty arrays stay."""
+    rows = [(["running", None, "ponies"], "ponies"), (None, None), ([], ""), (["running"] * 5, "hoping")]
+    df = spark.createDataFrame(rows, "w array<string>, t string").coalesce(1)
+    got = [(r[0], r[1]) for r in df.select(stemmer.stem_token_arr("w"), stemmer.stem_token("t")).collect()]
+    assert got == [(["run", None, "poni"], "poni"), (None, None), ([], ""), (["run"] * 5, "hope")]
+    calls = []
+    monkeypatch.setattr(stemmer, "stem", lambda w: calls.append(w) or w)
+    monkeypatch.setattr(stemmer, "WORDS", 3)
+    lists = pa.array([["a", "b"], None, ["a", "a", "a", "c"]])
+    assert stemmer._stem_lists(lists).to_pylist() == lists.to_pylist() and stemmer._stem_lists(lists.slice(2)).to_pylist() == [["a", "a", "a", "c"]]
+    assert calls == ["a", "b", "a", "c", "a", "c"]
