@@ -519,3 +519,22 @@ def test_stems_of_arrays(spark, monkeypatch):
     lists = pa.array([["a", "b"], None, ["a", "a", "a", "c"]])
     assert stemmer._stem_lists(lists).to_pylist() == lists.to_pylist() and stemmer._stem_lists(lists.slice(2)).to_pylist() == [["a", "a", "a", "c"]]
     assert calls == ["a", "b", "a", "c", "a", "c"]
+
+
+@pytest.mark.parametrize("smoothing", [1.0, 0.0])
+def test_naive_bayes_scores_rows_in_place(spark, monkeypatch, smoothing):
+    """A small model is sent to all tasks and rows are scored without a shuffle, as by joins to a large one."""
+    rng = np.random.default_rng(6)
+    rows = [(i % 30, "xyz"[rng.integers(3)], [str(rng.integers(4)), str(rng.integers(3)), f"{rng.normal():.3f}"] if i % 11 else [str(rng.integers(4))]) for i in range(90)]
+    rows += [(1, "x", None), (2, "y", ["1", None, "0"])]
+    new = spark.createDataFrame([*rows, (77, "x", ["9", "none", "word"]), (78, "x", [])], "k int, c string, a array<string>")
+    model = patterns.nb_train(spark.createDataFrame(rows, "k int, c string, a array<string>"), "c", "a", [3], smoothing)
+    probs, best = patterns.nb_probs(model, new, "k", "a"), patterns.nb_classify(model, new, "k", "a")
+    plan = patterns._nb_scored(model, new, "k", "a")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    got, classes = sorted(map(tuple, probs.collect())), {r.key: r["class"] for r in best.collect()}
+    monkeypatch.setattr(patterns, "SENT_ROWS", 0)
+    expected = sorted(map(tuple, patterns.nb_probs(model, new, "k", "a").collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in expected] and len(got) == 3 * 91
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in expected])
+    assert classes.keys() == {r[0] for r in got} and classes == {r.key: r["class"] for r in patterns.nb_classify(model, new, "k", "a").collect()}
