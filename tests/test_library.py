@@ -538,3 +538,18 @@ def test_naive_bayes_scores_rows_in_place(spark, monkeypatch, smoothing):
     assert [r[:2] for r in got] == [r[:2] for r in expected] and len(got) == 3 * 91
     assert np.allclose([r[2:] for r in got], [r[2:] for r in expected])
     assert classes.keys() == {r[0] for r in got} and classes == {r.key: r["class"] for r in patterns.nb_classify(model, new, "k", "a").collect()}
+
+
+@pytest.mark.parametrize("optimizer", ["irls", "cg", "igd"])
+def test_logistic_sums_need_no_python(spark, monkeypatch, optimizer):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 2)) * (1, 300)
+    df = spark.createDataFrame([(bool(rng.random() < 1 / (1 + np.exp(-a + b / 300))), float(a), float(b)) for a, b in x], "y boolean, a double, b double")
+    fit = lambda: one(regress.logregr_train(df, "y", ["1", "a", "b"], None, 15, optimizer)[0])
+    with monkeypatch.context() as m:
+        m.setattr(regress, "iterate", None)
+        plain = fit()
+    monkeypatch.setattr(regress, "NATIVE", 0)
+    kernel = fit()
+    assert plain.num_iterations == kernel.num_iterations and plain.log_likelihood == pytest.approx(kernel.log_likelihood)
+    assert np.allclose(plain.coef, kernel.coef) and np.allclose(plain.std_err, kernel.std_err)
