@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.operators.checks import is_numeric, names, need_columns, quoted
+from corvane.operators.iteration import stored
+from corvane.operators.order import placed, split_points
 
 
 def _stats(df: DataFrame, columns: list[str], groups: list[str], distinct: bool, quartiles: bool, ntiles: list[float], estimates: bool) -> DataFrame:
     """All aggregates of all columns in one pass, then one row for each column."""
     kinds = {f.name: f.dataType for f in df.schema}
     aggregates, structs = [], []
+    points = [0.25, 0.5, 0.75] * quartiles + ntiles
     for i, name in enumerate(columns):
         c, kind = F.col(quoted(name)), kinds[name]
         number = c.cast("double") if is_numeric(kind) else None
@@ -27,9 +30,8 @@ def _stats(df: DataFrame, columns: list[str], groups: list[str], distinct: bool,
             "min": F.min(number if number is not None else length if text else F.lit(None).cast("double")),
             "max": F.max(number if number is not None else length if text else F.lit(None).cast("double")),
         }
-        points = [0.25, 0.5, 0.75] * quartiles + ntiles
         if points:
-            values["points"] = (F.percentile_approx(number, points, 10000) if estimates else F.percentile(number, points)) if number is not None else F.lit(None).cast("array<double>")
+            values["points"] = F.percentile_approx(number, points, 10000) if number is not None and estimates else F.lit(None).cast("array<double>")
         aggregates += [v.alias(f"c{i}_{k}") if k in ("distinct_values", "missing_values", "blank_values", "mean", "variance", "min", "max", "points") else v for k, v in values.items()]
         fields = [F.lit(name).alias("target_column"), F.lit(df.columns.index(name) + 1).alias("column_number"), F.lit(kind.simpleString()).alias("data_type")]
         fields += [F.col(f"c{i}_{k}").alias(k) for k in values]
@@ -38,6 +40,8 @@ def _stats(df: DataFrame, columns: list[str], groups: list[str], distinct: bool,
     made = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), *aggregates)
     if distinct and not estimates:
         made = _exact_distinct(df, made, columns, keys)
+    if points and not estimates:
+        made = _exact_points(df, made, {i: n for i, n in enumerate(columns) if is_numeric(kinds[n])}, keys, points)
     made = made.select(*[f"g_{k}" for k in range(len(groups))], "row_count", F.explode(F.array(*structs)).alias("s"))
     out = made.select(
         F.lit(",".join(groups) or None).cast("string").alias("group_by"),
@@ -71,6 +75,36 @@ def _exact_distinct(df: DataFrame, made: DataFrame, columns: list[str], keys: li
     return made
 
 
+def _exact_points(df: DataFrame, made: DataFrame, columns: dict[int, str], keys: list, points: list[float]) -> DataFrame:
+    """Fills in exact quantiles, between the two values next to p (n - 1): counts of ranges tell which ranges hold these, and only they are sorted."""
+    own = [f"g_{k}" for k in range(len(keys))]
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(points)])
+    for at, name in columns.items():
+        c = F.col(quoted(name)).cast("double")
+        counts = stored(df.filter(c.isNotNull()).groupBy(*keys, c.alias("_v")).agg(F.count("*").alias("_n")))
+        ranged = placed(counts, F.col("_v"), split_points(counts, F.col("_v")), "_b")
+        ranges = ranged.groupBy(*own, "_b").agg(F.sum("_n").alias("_size"))  # a row for each range
+        ranges = ranges.withColumn("_up", F.sum("_size").over(Window.partitionBy(*own).orderBy("_b"))).withColumn("_all", F.sum("_size").over(Window.partitionBy(*own)))
+        place = ranges.withColumn("_w", F.explode(wanted)).withColumn("_pos", F.col("_w.p") * (F.col("_all") - 1))
+        sides = F.explode(F.array(F.struct(F.floor("_pos").alias("k"), (1 - (F.col("_pos") - F.floor("_pos"))).alias("w")), F.struct(F.ceil("_pos").alias("k"), (F.col("_pos") - F.floor("_pos")).alias("w"))))
+        place = place.withColumn("_s", sides).filter((F.col("_s.k") >= F.col("_up") - F.col("_size")) & (F.col("_s.k") < F.col("_up")))
+        place = place.select(*[F.col(g).alias(f"_{g}") for g in own], F.col("_b").alias("_at"), F.col("_w.i").alias("_i"), (F.col("_s.k") - F.col("_up") + F.col("_size")).alias("_k"), F.col("_s.w").alias("_share"))
+        place = place.groupBy(*[f"_{g}" for g in own], "_at").agg(F.collect_list(F.struct("_i", "_k", "_share")).alias("_places"))
+        same = F.col("_b") == F.col("_at")
+        for g in own:
+            same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+        inside = ranged.join(F.broadcast(place), same).withColumn("_to", F.sum("_n").over(Window.partitionBy(*own, "_b").orderBy("_v")))
+        hit = inside.withColumn("_p", F.explode("_places")).filter((F.col("_p._k") < F.col("_to")) & (F.col("_p._k") >= F.col("_to") - F.col("_n")))
+        value = hit.groupBy(*own, F.col("_p._i").alias("_i")).agg(F.sum(F.when(F.col("_p._share") == 0, 0.0).otherwise(F.col("_p._share") * F.col("_v"))).alias("_q"))
+        found = value.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda e: e["_q"]).alias("_points"))
+        found = found.select(*[F.col(g).alias(f"_{g}") for g in own], "_points")
+        same = F.lit(True)
+        for g in own:
+            same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+        made = made.join(found, same, "left").withColumn(f"c{at}_points", F.col("_points")).drop("_points", *[f"_{g}" for g in own])
+    return made
+
+
 def frequent_values(df: DataFrame, columns: list[str], n: int, groups: list[str] = (), estimates: bool = False) -> DataFrame:
     """(group values, target_column, most_frequent_values, mfv_frequencies): the n most frequent values of each column, of equal ones the smaller.
 

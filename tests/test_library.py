@@ -553,3 +553,19 @@ def test_logistic_sums_need_no_python(spark, monkeypatch, optimizer):
     kernel = fit()
     assert plain.num_iterations == kernel.num_iterations and plain.log_likelihood == pytest.approx(kernel.log_likelihood)
     assert np.allclose(plain.coef, kernel.coef) and np.allclose(plain.std_err, kernel.std_err)
+
+
+def test_exact_quartiles_by_ranges(spark, monkeypatch):
+    """Quartiles are those of the engine's percentile, without all values of a group in one task."""
+    monkeypatch.setattr(order, "ROWS", 7)
+    rng = np.random.default_rng(9)
+    rows = [("ab"[i % 2] if i % 7 else None, float(np.round(rng.normal(), 1)) if i % 5 else None, int(rng.integers(1000))) for i in range(301)] + [("c", None, 5), ("d", 1.5, 2)]
+    df = spark.createDataFrame(rows, "g string, x double, k int")
+    out = describe.summary(df, ["x", "k"], "g", ntile_array=[0.0, 0.1, 1.0], how_many_mfv=0, get_estimates=False)
+    assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.group_by, r.group_by_value, r.target_column): (r.first_quartile, r.median, r.third_quartile, r.quantile_array) for r in out.collect()}
+    points = [0.25, 0.5, 0.75, 0.0, 0.1, 1.0]
+    for c in ("x", "k"):
+        for r in df.groupBy("g").agg(F.percentile(c, points).alias("p")).collect() + df.agg(F.lit("all").alias("g"), F.percentile(c, points).alias("p")).collect():
+            q = got[(None, None, c) if r.g == "all" else ("g", r.g or "", c)]
+            assert r.p is None and q[0] is None if q[3] is None else np.allclose([*q[:3], *q[3]], r.p)
