@@ -569,3 +569,15 @@ def test_exact_quartiles_by_ranges(spark, monkeypatch):
         for r in df.groupBy("g").agg(F.percentile(c, points).alias("p")).collect() + df.agg(F.lit("all").alias("g"), F.percentile(c, points).alias("p")).collect():
             q = got[(None, None, c) if r.g == "all" else ("g", r.g or "", c)]
             assert r.p is None and q[0] is None if q[3] is None else np.allclose([*q[:3], *q[3]], r.p)
+
+
+def test_terms_of_whole_documents_need_no_shuffle(spark):
+    rows = [(1, ["b", "a", "b", None, "", "b"]), (2, []), (3, None), (None, ["a"]), (5, ["z"])]
+    df = spark.createDataFrame(rows, "d int, w array<string>")
+    expected = {(1, "a", 1), (1, "b", 3), (1, "", 1), (None, "a", 1), (5, "z", 1)}
+    once = patterns.term_frequency(df, "d", "w")
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    assert set(map(tuple, once.collect())) == expected and once.count() == 5
+    twice = patterns.term_frequency(df.union(df), "d", "w")
+    assert twice.dtypes == once.dtypes
+    assert set(map(tuple, twice.collect())) == {(d, w, 2 * n) for d, w, n in expected}
